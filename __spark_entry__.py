@@ -39,9 +39,13 @@ _BASELINE_STATS = [f"{m}_{s}" for m in METRICS for s in BASELINE_SUFFIXES]
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, keys excepted, so that two engines can be compared."""
-    return df.select(*[
-        F.round(F.col(f.name), 6).alias(f.name) if f.dataType.typeName() == "double" and f.name != "dcs" else f.name
+    """Doubles to six digits, keys excepted, so that two engines can be compared.
+
+    By arithmetic that is the same in both: their ``round`` functions differ where the seventh digit is a 5.
+    """
+    return df.selectExpr(*[
+        f"floor({f.name} * 1000000 + 0.5D) / 1000000 AS {f.name}"
+        if f.dataType.typeName() == "double" and f.name not in ("dcs", "deviation_score") else f"`{f.name}`"
         for f in df.schema
     ])
 

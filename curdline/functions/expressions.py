@@ -91,10 +91,11 @@ def fixed(value: str, digits: int, signed: bool = False) -> Column:
     """
     unit, one = 10**digits, 1 << _FRACTION_BITS
     fraction = f"((abs({value}) - floor(abs({value}))) * {one}D)"
-    scaled = f"(bigint({fraction}) * {unit}L)"
+    below = f"(({fraction} - double(bigint({fraction}))) * {unit})"  # what the integer part of the product lacks
+    scaled = f"(bigint({fraction}) * {unit}L + bigint({below}))"
     down = f"shiftright({scaled}, {_FRACTION_BITS})"
     rest = f"({scaled} - shiftleft({down}, {_FRACTION_BITS}))"
-    inexact_or_odd = f"({fraction} <> double(bigint({fraction})) OR {down} % 2 = 1)"
+    inexact_or_odd = f"({below} <> double(bigint({below})) OR {down} % 2 = 1)"
     up = f"CASE WHEN {rest} > {one // 2}L OR ({rest} = {one // 2}L AND {inexact_or_odd}) THEN 1L ELSE 0L END"
     total = f"(floor(abs({value})) * {unit}L + {down} + {up})"
     sign = f"CASE WHEN {value} < 0 THEN '-' ELSE '{'+' if signed else ''}' END"

@@ -8,13 +8,12 @@ no row is dropped. An ordinary run has exactly one part.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curdline.functions.expressions import printed_date
 from curdline.operators import rollups
+from curdline.operators.merge import union_all
 from curdline.schema import (
     ACTION_PLAN,
     BATCH_FACILITY,
@@ -58,20 +57,33 @@ def run_documents(
         "detail_rows": _dated(rollups.detail_rows(flags)),
     }
     runs = _parts(totals, lists, scope, items_per_part)
-    header = _header(records, stats, counts, totals, severities, history, baselines, scope)
-
-    parts = runs.select(*scope, "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    joined = parts.join(header, scope)
-    for name, rows in lists.items():
-        joined = joined.join(_dealt(rows, runs, scope, name), [*scope, "part"], "left")
+    pieces = [runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))]
+    pieces += [
+        piece.withColumn("part", F.lit(0))
+        for piece in _header(records, stats, counts, totals, severities, history, baselines, scope)
+    ]
+    pieces += [_dealt(rows, runs, scope, name) for name, rows in lists.items()]
+    # Every piece has at most one row per part, so a union and one aggregate put a document together.
+    fields = [c for c in dict.fromkeys(c for p in pieces for c in p.columns) if c not in [*scope, "part"]]
+    united = union_all([_keyed_by_run(p, scope) for p in pieces])
+    whole = united.groupBy("run", "part").agg(*[F.first(c, True).alias(c) for c in fields]).select("*", "run.*")
     facility = F.col("facility") if "facility" in scope else F.lit(BATCH_FACILITY)
-    return joined.select(
+    return whole.where(F.col("parts").isNotNull()).select(
         facility.alias("facility"), "file_year", "file_month", F.col("part").cast("int").alias("part"),
         F.col("parts").cast("int").alias("parts"), "mode",
         F.to_json(_document(facility, filename), {"ignoreNullFields": "false"}).alias("bundle_json"),
     )
 
 
+def _keyed_by_run(df: DataFrame, scope: list[str]) -> DataFrame:
+    """The scope as one struct column.
+
+    Spark 4.1 zips the children of a union when all are hash-partitioned by the same columns, which fails if
+    adaptive execution has changed one child's partition count. A computed key avoids that.
+    """
+    return df.select(F.struct(*scope).alias("run"), *[c for c in df.columns if c not in scope])
+
+
 def _dated(df: DataFrame) -> DataFrame:
     dates = [f.name for f in df.schema if f.dataType.typeName() == "date"]
     return df.withColumns({c: printed_date(F.col(c)) for c in dates}) if dates else df
@@ -79,15 +91,15 @@ def _dated(df: DataFrame) -> DataFrame:
 
 def _parts(totals: DataFrame, lists: dict[str, DataFrame], scope: list[str], per_part: int) -> DataFrame:
     sizes = [rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")) for rows in lists.values()]
-    longest = reduce(lambda a, b: a.unionByName(b), sizes).groupBy(*scope).agg(F.max("n").alias("n"))
+    longest = union_all([_keyed_by_run(s, scope) for s in sizes]).groupBy("run").agg(F.max("n").alias("n")).select("run.*", "n")
     needed = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / per_part), F.lit(1)).cast("int")
-    return totals.select(*scope).join(longest, scope, "left").select(*scope, needed.alias("parts"))
+    return totals.select(*scope, "mode").join(longest, scope, "left").select(*scope, "mode", needed.alias("parts"))
 
 
 def _dealt(rows: DataFrame, runs: DataFrame, scope: list[str], name: str) -> DataFrame:
     """Each part's rows as one sorted array."""
     part = F.pmod(F.xxhash64(*rows.columns), F.col("parts")).cast("int")
-    dealt = rows.join(runs, scope).withColumn("part", part)
+    dealt = rows.join(runs.select(*scope, "parts"), scope).withColumn("part", part)
     return dealt.groupBy(*scope, "part").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
 
 
@@ -104,7 +116,7 @@ def _count_map(rows: DataFrame, scope: list[str], key: str, name: str) -> DataFr
     )
 
 
-def _header(records, stats, counts, totals, severities, history, baselines, scope) -> DataFrame:
+def _header(records, stats, counts, totals, severities, history, baselines, scope) -> list[DataFrame]:
     facilities = rollups.facility_overview(records, scope)
     facility_list = facilities.groupBy(*scope).agg(
         F.sort_array(F.collect_list("facility")).alias("facilities") if "facility" not in scope
@@ -117,7 +129,9 @@ def _header(records, stats, counts, totals, severities, history, baselines, scop
     watchlist = rollups.calibration_watchlist(stats, scope)
     first_severities = rollups.top_rows(severities, scope, [F.col(c) for c in ["facility", "dcs", "society_name"]], 8)
     eligible = rollups.eligible_baseline_rows(baselines)
-    pieces = [
+    month_wide = totals.select(*scope).join(eligible, ["file_year", "file_month"])
+    return [
+        totals.drop("distinct_societies", "mode"),
         facility_list,
         seasons,
         _count_map(rollups.category_distribution(counts, scope), scope, "diagnosis", "diagnosis_counts"),
@@ -126,16 +140,8 @@ def _header(records, stats, counts, totals, severities, history, baselines, scop
         _top_list(watchlist, scope, "watchlist"),
         _top_list(first_severities, scope, "top_severities"),
         history,
+        month_wide,
     ]
-    header = totals.drop("distinct_societies")
-    for piece in pieces:
-        header = header.join(piece, scope, "left")
-    header = header.join(eligible, ["file_year", "file_month"], "left")
-    zero = F.lit(0).cast("bigint")
-    return header.withColumns({
-        "eligible_baseline_rows": F.coalesce("eligible_baseline_rows", zero),
-        "historical_month_stats_count": F.coalesce("historical_month_stats_count", zero),
-    })
 
 
 def _document(facility: Column, filename: str) -> Column:
@@ -162,8 +168,10 @@ def _document(facility: Column, filename: str) -> Column:
     sections = {
         "executive_summary": section(
             "Executive Summary", mode=col("mode"), summary=summary,
-            top_severities=col("top_severities"),
-            top_watchlist=F.when(F.coalesce(F.size("top_severities"), F.lit(0)) < 1, F.slice("watchlist", 1, 8)),
+            # Two kinds of rows may stand here, so the list is a variant.
+            top_findings=F.when(F.size("top_severities") > 0, F.to_variant_object("top_severities")).otherwise(
+                F.to_variant_object(F.slice("watchlist", 1, 8))
+            ),
         ),
         "audit_trail": section(
             "Audit Trail", initial_flags=col("initial_flags"), seasonal_suppressed=col("seasonal_suppressed"),
@@ -190,7 +198,7 @@ def _document(facility: Column, filename: str) -> Column:
         ),
         "calibration": section(
             "Calibration / Insufficient History", watchlist=col("watchlist"),
-            eligible_societies=col("eligible_baseline_rows"), baseline_snapshot=col("historical_baselines"),
+            eligible_societies=F.coalesce("eligible_baseline_rows", F.lit(0)), baseline_snapshot=col("historical_baselines"),
         ),
     }
     lead = F.col("part") == 0
@@ -216,7 +224,9 @@ def _document(facility: Column, filename: str) -> Column:
             summary.alias("summary_text"), col("diagnosis_counts").alias("top_diagnoses"),
             col("diagnosis_counts").alias("top_screening_categories"), col("mode").alias("mode"),
         ),
-        "history_inputs": F.struct("historical_month_stats_count"),
+        "history_inputs": F.struct(
+            F.coalesce("historical_month_stats_count", F.lit(0)).alias("historical_month_stats_count")
+        ),
     }
     always = {"file_identity", "current_month_stats", "historical_baselines", "anomaly_records", "report_records",
               "daily_summary", "severity", "recurring_signal_indicators", "sections"}

@@ -200,7 +200,7 @@ def history_counts(stats: DataFrame) -> DataFrame:
 
 def facility_overview(records: DataFrame, scope: list[str] = PERIOD) -> DataFrame:
     def two_digits(m: str) -> Column:
-        return F.rint(F.avg(m) * 100) / 100
+        return F.rint(F.round(F.avg(m), 9) * 100) / 100
 
     keys = list(dict.fromkeys([*scope, "facility"]))
     return records.groupBy(*keys).agg(

@@ -5,66 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curdline.functions.expressions import any_of, season_of, trimmed
+from curdline.functions.expressions import any_of, finite, season_of, trimmed
 from curdline.schema import CONTRACT_VERSION, FOOTER_LABELS, NUMERIC_COLUMNS, RECORD, REPORT_COLUMNS
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_ISO_DATE = r"^(\d{4}-\d{1,2}-\d{1,2})(\s|$)"
-_TIME_TAIL = r"[ T]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"
+# One match per cell finds the value between surrounding blanks.
+_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+_TIME = r"(?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*$"
+_LOOKS_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}(\s|$)"
+_ISO_DATE = r"^\s*(\d{4}-\d{1,2}-\d{1,2})" + _TIME
 # Day-first readings of one date, tried in this order; month first only where day first is impossible.
 _DATE_PATTERNS = [
     "d-M-yyyy", "M-d-yyyy", "d-M-yy", "M-d-yy", "d-MMM-yyyy", "d-MMMM-yyyy", "d-MMM-yy", "MMM-d-yyyy",
     "MMMM-d-yyyy", "yyyy-d-M", "yyyy-M-d", "yyyy-MMM-d",
 ]
+_SHIFTS = {"M": "M", "MORNING": "M", "E": "E", "EVENING": "E"}
 _FILE_COLUMNS = ["source_file", "facility", "file_year", "file_month", "schema_layout", "schema_fingerprint"]
 
 
 def number(text: Column) -> Column:
-    clean = trimmed(text)
-    value = F.when(clean.rlike(_NUMBER), clean).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return finite(F.nullif(F.regexp_extract(text, _NUMBER, 1), F.lit("")).try_cast("double"))
+
+
+def date_text(text: Column) -> Column:
+    """A date without its time of day: ISO text as it is, anything else with dashes between its parts."""
+    other = F.regexp_replace(F.regexp_replace(text, _TIME, ""), r"[./\s,-]+", "-")
+    return F.when(
+        text.rlike(_LOOKS_ISO), F.nullif(F.concat(F.lit("iso "), F.regexp_extract(text, _ISO_DATE, 1)), F.lit("iso "))
+    ).otherwise(F.regexp_replace(other, "^-", ""))
 
 
 def parsed_date(text: Column) -> Column:
-    clean = trimmed(text)
-    without_time = F.regexp_replace(clean, _TIME_TAIL, "")
-    iso = clean.rlike(_ISO_DATE)
-    iso_day = F.when(without_time.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), without_time)
-    uniform = F.regexp_replace(without_time, r"[./\s,-]+", "-")
-    mixed = F.coalesce(*[F.try_to_timestamp(uniform, F.lit(p)) for p in _DATE_PATTERNS])
-    return F.when(iso, F.try_to_timestamp(iso_day, F.lit("yyyy-M-d"))).otherwise(mixed).cast("date")
+    """Date from ``date_text``."""
+    readings = [F.try_to_timestamp(text, F.lit(p)) for p in ["'iso 'yyyy-M-d", *_DATE_PATTERNS]]
+    return F.coalesce(*readings).cast("date")
 
 
 def canonical_shift(text: Column) -> Column:
-    label = F.upper(trimmed(text))
-    return F.when(label.isin("M", "MORNING"), "M").when(label.isin("E", "EVENING"), "E")
+    known = F.create_map(*[F.lit(x) for pair in _SHIFTS.items() for x in pair])
+    return F.try_element_at(known, F.upper(trimmed(text)))
 
 
 def data_rows(raw: DataFrame) -> DataFrame:
     """Rows that hold data: blank rows and unnumbered footer rows are left out, a numbered TOTAL row is not."""
-    filled = any_of([F.coalesce(trimmed(F.col(c)) != "", F.lit(False)) for c in REPORT_COLUMNS if c != "serial_no"])
-    label = F.upper(trimmed(F.coalesce("society_name", F.lit(""))))
-    footer = F.col("serial_no").isNull() & label.isin(FOOTER_LABELS)
+    filled = any_of([_filled(c) for c in REPORT_COLUMNS if c != "serial_no"])
+    footer = F.col("serial_no").isNull() & F.upper(trimmed(F.coalesce("society_name", F.lit("")))).isin(FOOTER_LABELS)
     return raw.where((F.col("serial_no").isNotNull() | filled) & ~footer)
 
 
+def _filled(column: str) -> Column:
+    return F.coalesce(F.col(column).rlike(r"\S"), F.lit(False))
+
+
 def validate(raw: DataFrame) -> DataFrame:
     """Data rows with typed columns and ``rejection_reason`` (empty when accepted)."""
-    rows = data_rows(raw).withColumns({
-        **{c: number(F.col(c)) for c in NUMERIC_COLUMNS},
-        "parsed_date": parsed_date(F.col("date")),
-        "canonical_shift": canonical_shift(F.col("shift")),
-    })
-
-    def blank(c: str) -> Column:
-        return F.coalesce(trimmed(F.col(c)), F.lit("")) == ""
+    # As the output of a generator a parsed cell is computed once; filters on the reason stay above it.
+    cells = F.struct(
+        *[number(F.col(c)).alias(f"{c}_number") for c in NUMERIC_COLUMNS],
+        date_text(F.col("date")).alias("date_text"), canonical_shift(F.col("shift")).alias("canonical_shift"),
+    )
+    rows = data_rows(raw).select("*", F.inline(F.array(cells)))
+    rows = rows.select("*", F.explode(F.array(parsed_date(F.col("date_text")))).alias("parsed_date"))
 
     checks = [
-        (blank("serial_no"), "missing_serial_no"),
+        (~_filled("serial_no"), "missing_serial_no"),
         (F.col("parsed_date").isNull(), "missing_or_invalid_date"),
-        *[(F.col(c).isNull(), f"missing_or_invalid_{c}") for c in ["dcs", "fat_pct", "snf_pct", "clr", "qty"]],
+        *[(F.col(f"{c}_number").isNull(), f"missing_or_invalid_{c}") for c in ["dcs", "fat_pct", "snf_pct", "clr", "qty"]],
         (F.col("canonical_shift").isNull(), "missing_or_invalid_shift"),
-        (blank("society_name"), "missing_society_name"),
+        (~_filled("society_name"), "missing_society_name"),
     ]
     reasons = F.concat_ws("; ", *[F.when(bad, reason) for bad, reason in checks])
     return rows.withColumn("rejection_reason", reasons)
@@ -73,6 +80,7 @@ def validate(raw: DataFrame) -> DataFrame:
 def accepted(validated: DataFrame) -> DataFrame:
     """Canonical records in the order of ``schema.RECORD``."""
     return validated.where(F.col("rejection_reason") == "").withColumns({
+        **{c: F.col(f"{c}_number") for c in NUMERIC_COLUMNS},
         "date": F.col("parsed_date"),
         "shift": F.col("canonical_shift"),
         "society_name": trimmed(F.col("society_name")),

@@ -11,8 +11,13 @@ SFX = ["mean", "std", "median", "q1", "q3", "p90", "p10", "min", "max"]
 BSFX = SFX[:7]
 
 
+def _six(term: str) -> str:
+    """Six digits by the same arithmetic in both engines (their round functions differ on ties)."""
+    return f"floor(({term}) * 1000000 + 0.5) / 1000000"
+
+
 def _r6(names: list[str]) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"{_six(n)} AS {n}" for n in names)
 
 
 def _mode(source: str, keys: str, value: str, out: str, where: str = "TRUE") -> str:
@@ -238,7 +243,7 @@ def _raw_baselines() -> str:
             term = f"round(b.{m}_{s}, 9)"
             if m == "snf_pct" and s in ("mean", "std"):
                 term = f"CASE WHEN round(b.snf_pct_std, 9) > 0.5 AND tn >= 5 THEN round(t{s}, 9) ELSE {term} END"
-            out.append(f"round({term}, 6) AS {m}_{s}")
+            out.append(f"{_six(term)} AS {m}_{s}")
     return f"""WITH {R},
 x AS (SELECT * FROM r UNION ALL SELECT * REPLACE ('all' AS season) FROM r),
 b AS (SELECT {g}, count(*) AS record_count, {cols} FROM x GROUP BY ALL HAVING count(*) >= 10),
@@ -279,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
     q["rules_fired"] = f"{_FULL}\nSELECT {_ID}, {fired} AS rules_fired FROM fl"
     q["explanation"] = f"{_FULL}\nSELECT {_ID}, {_EXPLAIN} AS explanation FROM fl"
     q["flags"] = (f"{_FULL}\nSELECT {_ID}, society_name, CAST(NULL AS VARCHAR) AS vehicle, qty, fat_pct, snf_pct, clr, {z6}, {rules}, "
-                  f"low_seasonal_data, {b6}, season, direction, num_dir, total_active, round(pct_flagged, 6) AS pct_flagged, "
+                  f"low_seasonal_data, {b6}, season, direction, num_dir, total_active, {_six('pct_flagged')} AS pct_flagged, "
                   f"seasonal_likely, diagnosis, confidence, \"case\", {_EXPLAIN} AS explanation, confidence_base, confidence_note FROM fl")
     q["exported_flags"] = (f"{_FULL}\nSELECT {_S}, date, shift, CAST(NULL AS VARCHAR) AS vehicle, qty, fat_pct, snf_pct, clr, {z6}, "
                            f"{fired} AS rules_fired, diagnosis, confidence, {_EXPLAIN} AS explanation, "
@@ -287,13 +292,13 @@ def oracle_sql() -> dict[str, str]:
     q["active_societies"] = (f"WITH {R}\nSELECT facility, file_year, file_month, date, shift, count(DISTINCT dcs) AS total_active "
                              f"FROM r GROUP BY ALL")
     q["shared_event"] = (f"{_FULL}\nSELECT facility, file_year, file_month, date, shift, direction, num_dir, total_active, "
-                         f"round(pct_flagged, 6) AS pct_flagged, seasonal_likely FROM ev")
+                         f"{_six('pct_flagged')} AS pct_flagged, seasonal_likely FROM ev")
     q["report_records"] = f"{_FULL}\nSELECT {_ID}, society_name, diagnosis, confidence FROM rep"
     q["run_mode"] = f"{_FULL},\n{_TOTALS}\nSELECT {P}, mode FROM tot"
     q["daily_summary"] = f"""{_FULL},
 nf AS (SELECT facility, file_year, file_month, date, shift, count(DISTINCT dcs) AS nf FROM fl GROUP BY ALL)
 SELECT facility, file_year, file_month, date, shift, total_active, coalesce(nf, 0) AS num_flagged,
-  round(coalesce(nf, 0) / total_active * 100, 6) AS pct_flagged,
+  {_six('coalesce(nf, 0) / total_active * 100')} AS pct_flagged,
   CASE WHEN coalesce(nf, 0) / total_active * 100 > 30 THEN 1 ELSE 0 END AS seasonal_event
 FROM ac LEFT JOIN nf USING (facility, file_year, file_month, date, shift)"""
     sev = f"SELECT {_S}, file_year, file_month, flags, severity, primary_diagnosis FROM sv"
@@ -325,7 +330,7 @@ SELECT br.*, CASE WHEN coalesce(n, 0) > 0 THEN 'detection' ELSE 'seed_only' END
     q["history_count"] = f"""WITH {R}, n AS (SELECT {P}, count(DISTINCT dcs) AS c FROM r GROUP BY ALL)
 SELECT {P}, CAST(coalesce(sum(c) OVER (ORDER BY file_year, file_month, facility ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
   AS historical_month_stats_count FROM n"""
-    two = ", ".join(f"round_even(avg({m}) * 100, 0) / 100 AS {a}" for m, a in [("fat_pct", "avg_fat"), ("snf_pct", "avg_snf"), ("clr", "avg_clr")])
+    two = ", ".join(f"round_even(round(avg({m}), 9) * 100, 0) / 100 AS {a}" for m, a in [("fat_pct", "avg_fat"), ("snf_pct", "avg_snf"), ("clr", "avg_clr")])
     q["facility_overview"] = f"WITH {R}\nSELECT {P}, count(*) AS records, count(DISTINCT dcs) AS societies, {two} FROM r GROUP BY ALL"
     q["category_distribution"] = f"{_FULL}\nSELECT {P}, diagnosis, count(*) AS count FROM rep GROUP BY ALL"
     q["priority_distribution"] = f"{_FULL}\nSELECT {P}, confidence, count(*) AS count FROM rep GROUP BY ALL"
@@ -350,7 +355,7 @@ SELECT * FROM k WHERE rank <= 15"""
 g AS (SELECT {P}, diagnosis, count(*) AS count FROM rep GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY count DESC, diagnosis) AS rank,
         sum(count) OVER (PARTITION BY {P}) AS total FROM g)
-SELECT {P}, rank, diagnosis, count, round(count / CAST(total AS DOUBLE) * 100, 6) AS pct_of_facility FROM k WHERE rank <= 5"""
+SELECT {P}, rank, diagnosis, count, {_six('count / CAST(total AS DOUBLE) * 100')} AS pct_of_facility FROM k WHERE rank <= 5"""
     q["keyword_top"] = f"""{_FULL},
 kw(keyword) AS (VALUES ('LOW_'), ('HIGH_'), ('VOLUME_'), ('RELATIONSHIP_')),
 g AS (SELECT {P}, keyword, dcs, society_name, count(*) AS count FROM rep JOIN kw ON contains(diagnosis, keyword) GROUP BY ALL),
@@ -382,7 +387,7 @@ SELECT case_id, CASE WHEN {closing} THEN 'LAB_PENDING' ELSE 'OPEN' END AS status
     q["case_merge"] = f"""{_FULL},\n{_CASES}
 SELECT case_id, priority, CASE WHEN {closing} THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM rc"""
     q["keyed_merge"] = f"""WITH {R}, m AS (SELECT {K}, count(*) AS n, max(qty) AS top FROM r GROUP BY ALL)
-SELECT {K}, CASE WHEN file_month BETWEEN 4 AND 9 THEN n ELSE -n END AS n, round(top, 6) AS top,
+SELECT {K}, CASE WHEN file_month BETWEEN 4 AND 9 THEN n ELSE -n END AS n, {_six('top')} AS top,
   CASE WHEN file_month BETWEEN 4 AND 9 THEN 'new' ELSE 'old' END AS origin FROM m"""
     q["new_periods"] = f"""WITH {R}
 SELECT {P}, count(*) AS records FROM r WHERE file_month NOT IN (2, 7) AND NOT (facility = 'FacilityB' AND file_year < 1998) GROUP BY ALL"""
