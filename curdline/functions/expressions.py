@@ -90,18 +90,20 @@ def fixed(value: str, digits: int, signed: bool = False) -> Column:
     fraction is scaled to an integer of 52 bits, so that the tie test is exact.
     """
     unit, one = 10**digits, 1 << _FRACTION_BITS
-    fraction = f"((abs({value}) - floor(abs({value}))) * {one}D)"
-    below = f"(({fraction} - double(bigint({fraction}))) * {unit})"  # what the integer part of the product lacks
-    scaled = f"(bigint({fraction}) * {unit}L + bigint({below}))"
-    down = f"shiftright({scaled}, {_FRACTION_BITS})"
-    rest = f"({scaled} - shiftleft({down}, {_FRACTION_BITS}))"
-    inexact_or_odd = f"({below} <> double(bigint({below})) OR {down} % 2 = 1)"
-    up = f"CASE WHEN {rest} > {one // 2}L OR ({rest} = {one // 2}L AND {inexact_or_odd}) THEN 1L ELSE 0L END"
-    total = f"(floor(abs({value})) * {unit}L + {down} + {up})"
-    sign = f"CASE WHEN {value} < 0 THEN '-' ELSE '{'+' if signed else ''}' END"
-    return F.expr(
-        f"concat({sign}, string({total} div {unit}L), '.', lpad(string({total} % {unit}L), {digits}, '0'))"
-    )
+    # Each intermediate value is bound once, as the variable of a one-element transform.
+    steps = [
+        ("x", f"abs({value})"),
+        ("p", f"struct(floor(x) AS whole, (x - floor(x)) * {one}D AS bits)"),
+        ("q", f"struct(p.whole AS whole, bigint(p.bits) * {unit}L AS high, (p.bits - double(bigint(p.bits))) * {unit} AS low)"),
+        ("s", "struct(q.whole AS whole, q.high + bigint(q.low) AS scaled, q.low <> double(bigint(q.low)) AS inexact)"),
+        ("t", f"struct(s.whole * {unit}L + shiftright(s.scaled, {_FRACTION_BITS}) AS down, s.inexact AS inexact,"
+              f" s.scaled - shiftleft(shiftright(s.scaled, {_FRACTION_BITS}), {_FRACTION_BITS}) - {one // 2}L AS over)"),
+        ("n", "CASE WHEN t.over > 0 OR (t.over = 0 AND (t.inexact OR t.down % 2 = 1)) THEN t.down + 1 ELSE t.down END"),
+    ]
+    text = f"concat(string(n div {unit}L), '.', lpad(string(n % {unit}L), {digits}, '0'))"
+    for name, bound in reversed(steps):
+        text = f"get(transform(array({bound}), {name} -> {text}), 0)"
+    return F.expr(f"concat(CASE WHEN {value} < 0 THEN '-' ELSE '{'+' if signed else ''}' END, {text})")
 
 
 def plain_number(value: Column) -> Column:

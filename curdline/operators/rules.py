@@ -40,14 +40,16 @@ def score_records(records: DataFrame, baselines: DataFrame) -> DataFrame:
     keys = [c for c in ["facility", "dcs", "file_year", "file_month", "season"] if c in lookup.columns]
     records = with_missing(clean_measures(records), {"serial_no": "string", "vehicle": "string"})
     joined = records.join(lookup, keys)
-    scored = joined.withColumns({
-        "z_fat": zscore(F.col("fat_pct"), F.col("fat_pct_mean"), F.col("fat_pct_std")),
-        "z_snf": zscore(F.col("snf_pct"), F.col("snf_pct_mean"), F.col("snf_pct_std")),
-        "z_clr": zscore(F.col("clr"), F.col("clr_mean"), F.col("clr_std")),
-        "z_qty": zscore(F.col("qty"), F.col("qty_mean"), F.col("qty_std")),
-        "b_fat": F.col("fat_pct_mean"), "b_snf": F.col("snf_pct_mean"),
-        "b_clr": F.col("clr_mean"), "b_qty": F.col("qty_mean"),
-    })
+    scores = F.struct(
+        zscore(F.col("fat_pct"), F.col("fat_pct_mean"), F.col("fat_pct_std")).alias("z_fat"),
+        zscore(F.col("snf_pct"), F.col("snf_pct_mean"), F.col("snf_pct_std")).alias("z_snf"),
+        zscore(F.col("clr"), F.col("clr_mean"), F.col("clr_std")).alias("z_clr"),
+        zscore(F.col("qty"), F.col("qty_mean"), F.col("qty_std")).alias("z_qty"),
+        F.col("fat_pct_mean").alias("b_fat"), F.col("snf_pct_mean").alias("b_snf"),
+        F.col("clr_mean").alias("b_clr"), F.col("qty_mean").alias("b_qty"),
+    )
+    # As the output of a generator the scores are computed once; filters on the rules stay above it.
+    scored = joined.select("*", F.inline(F.array(scores)))
     rules = {RULES[r]: flag(F.expr(c)) for r, c in _CONDITIONS.items()} | {RULES["R8"]: F.lit(0)}
     extreme = any_of([F.abs(F.col(z)) > LIMITS.thin_z for z in ["z_snf", "z_fat", "z_clr"]])
     scored = scored.withColumns(rules).withColumns({

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from curdline.functions.expressions import any_of, finite, season_of, trimmed
 from curdline.schema import CONTRACT_VERSION, FOOTER_LABELS, NUMERIC_COLUMNS, RECORD, REPORT_COLUMNS
 
-# One match per cell finds the value between surrounding blanks.
-_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+# Letters that Spark's cast accepts in a number and a report does not: 1.0d, 1.0f, 0x1p3, inf.
+_NOT_IN_NUMBERS = "[dDfFxXpP]"
 _TIME = r"(?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*$"
 _LOOKS_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}(\s|$)"
 _ISO_DATE = r"^\s*(\d{4}-\d{1,2}-\d{1,2})" + _TIME
@@ -23,7 +23,7 @@ _FILE_COLUMNS = ["source_file", "facility", "file_year", "file_month", "schema_l
 
 
 def number(text: Column) -> Column:
-    return finite(F.nullif(F.regexp_extract(text, _NUMBER, 1), F.lit("")).try_cast("double"))
+    return finite(F.when(~text.rlike(_NOT_IN_NUMBERS), text).try_cast("double"))
 
 
 def date_text(text: Column) -> Column:
@@ -36,8 +36,9 @@ def date_text(text: Column) -> Column:
 
 def parsed_date(text: Column) -> Column:
     """Date from ``date_text``."""
-    readings = [F.try_to_timestamp(text, F.lit(p)) for p in ["'iso 'yyyy-M-d", *_DATE_PATTERNS]]
-    return F.coalesce(*readings).cast("date")
+    mixed = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in _DATE_PATTERNS])
+    iso = F.try_to_timestamp(F.substring(text, 5, 10), F.lit("yyyy-M-d"))
+    return F.when(text.startswith("iso "), iso).otherwise(mixed).cast("date")
 
 
 def canonical_shift(text: Column) -> Column:
