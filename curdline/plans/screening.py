@@ -55,18 +55,25 @@ class StateTables:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def run_incremental(spark: SparkSession, records: DataFrame, state_dir: str, filename: str = "") -> DataFrame:
-    """Screen the periods that have no bundle yet and merge the results into the derived tables."""
+def run_incremental(
+    spark: SparkSession, records: DataFrame, state_dir: str, filename: str = "", stored: bool = False
+) -> DataFrame:
+    """Screen the periods that have no bundle yet and merge the results into the derived tables.
+
+    Several stages read the records. Unless they come from a ``stored`` columnar table, the new ones are
+    written once, so that report files are not parsed again for each stage.
+    """
     state = StateTables(state_dir)
     bundles = tables.read_table(spark, state.report_bundles, BUNDLE)
     fresh = merge.only_new_periods(records, bundles)
     if fresh.limit(1).isEmpty():
         raise ValueError("No new reporting periods were available; existing periods were left unchanged.")
-    return _run(spark, fresh, state, PERIOD, filename)
+    return _run(spark, fresh, state, PERIOD, filename, stored)
 
 
 def run_batch(
-    spark: SparkSession, records: DataFrame, state_dir: str, force: bool = False, filename: str = ""
+    spark: SparkSession, records: DataFrame, state_dir: str, force: bool = False, filename: str = "",
+    stored: bool = False,
 ) -> DataFrame:
     """Screen one month of several facilities as a single run with identity ALL."""
     state = StateTables(state_dir)
@@ -74,28 +81,35 @@ def run_batch(
     bundles = tables.read_table(spark, state.report_bundles, BUNDLE)
     if not force and merge.duplicate_period(bundles, BATCH_FACILITY, year, month):
         raise RuntimeError(f"Consolidated {year}-{month:02d} report is already present; use force to replace it.")
-    return _run(spark, records, state, BATCH, filename)
+    return _run(spark, records, state, BATCH, filename, stored)
 
 
-def _run(spark: SparkSession, records: DataFrame, state: StateTables, scope: list[str], filename: str) -> DataFrame:
+def _run(
+    spark: SparkSession, records: DataFrame, state: StateTables, scope: list[str], filename: str, stored: bool
+) -> DataFrame:
     """Write every derived table, bundles last.
 
     A bundle marks its period as done. If the job dies earlier, the period is simply computed again, and the
     keyed merges replace what the first attempt wrote.
     """
+    if not stored:
+        records = tables.materialized(records, "records")
     months = tables.materialized(records.select(*BATCH).distinct(), "months")
 
     def of_these_months(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(months), BATCH, "left_semi")
 
-    tables.upsert(spark, state.month_stats, month_stats(records, F.lit(filename)), MONTH_KEYS)
+    def save(name: str, rows: DataFrame, keys: list[str], preserve_existing: bool = False) -> None:
+        tables.upsert(spark, getattr(state, name), rows, keys, preserve_existing, months)
+
+    save("month_stats", month_stats(records, F.lit(filename)), MONTH_KEYS)
     known = tables.read_table(spark, state.month_stats, MONTH_STATS)
     # The stored table also holds earlier rows of these months; a run reports on its own facilities.
     run_periods = records.select(*PERIOD).distinct()
     stats = of_these_months(known).join(run_periods, PERIOD, "left_semi")
 
     target_baselines = baselines_by_period(known, months)
-    tables.upsert(spark, state.baselines, target_baselines, BASELINE_KEYS)
+    save("baselines", target_baselines, BASELINE_KEYS)
     baselines = of_these_months(tables.read_table(spark, state.baselines, target_baselines.schema))
 
     flags = tables.materialized(score(records, baselines), "flags")
@@ -105,19 +119,19 @@ def _run(spark: SparkSession, records: DataFrame, state: StateTables, scope: lis
     totals = rollups.period_totals(records, counts, scope)
     audit = rollups.audit_trail(totals, scope, BATCH_FACILITY)
 
-    tables.upsert(spark, state.flagged, flags, FLAG_KEYS)
-    tables.upsert(spark, state.daily_summary, daily, EVENT_KEYS)
-    tables.upsert(spark, state.severity, rollups.severity(counts, None), MONTH_KEYS)
-    tables.upsert(spark, state.month_summaries, rollups.month_summaries(records, counts, scope), PERIOD)
-    tables.upsert(spark, state.audit_trail, audit, [*PERIOD, "metric"])
-    tables.upsert(spark, state.review_cases, cases.review_cases(report), ["case_id"], preserve_existing=True)
+    save("flagged", flags, FLAG_KEYS)
+    save("daily_summary", daily, EVENT_KEYS)
+    save("severity", rollups.severity(counts, None), MONTH_KEYS)
+    save("month_summaries", rollups.month_summaries(records, counts, scope), PERIOD)
+    save("audit_trail", audit, [*PERIOD, "metric"])
+    save("review_cases", cases.review_cases(report), ["case_id"], preserve_existing=True)
 
     history = _history_counts(known, scope)
-    own_baselines = baselines.join(records.select(*PERIOD).distinct(), PERIOD, "left_semi")
+    own_baselines = baselines.join(run_periods, PERIOD, "left_semi")
     documents = bundle.run_documents(
         records, stats, own_baselines, flags, counts, daily, history, scope, filename
     )
-    tables.upsert(spark, state.report_bundles, documents, [*PERIOD, "part"])
+    save("report_bundles", documents, [*PERIOD, "part"])
     return rollups.run_summary(audit)
 
 

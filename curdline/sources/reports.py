@@ -10,8 +10,8 @@ from curdline.schema import LAYOUTS, MONTH_NAMES, REPORT_COLUMNS, REQUIRED_COLUM
 
 _PERIOD_PATTERN = r"(?i)month of\s+([A-Za-z]+)\s+(\d{4})"
 _QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-# Above this many files the per-split table is joined by shuffle instead of broadcast.
-_BROADCAST_FILES = 200_000
+# Above this many file splits the per-split table is joined by shuffle instead of broadcast.
+_BROADCAST_SPLITS = 200_000
 
 
 def month_number(token: Column) -> Column:
@@ -81,7 +81,7 @@ def _decoded_name() -> Column:
 
 
 def _numbered_lines(spark: SparkSession, source_dir: str, glob: str) -> tuple[DataFrame, DataFrame, int]:
-    """Lines with split-local ids, and one row per file split."""
+    """Lines with split-local ids, one row per file split, and a bound for the number of splits."""
     scan = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(source_dir)
     lines = scan.select(
         "value",
@@ -94,7 +94,9 @@ def _numbered_lines(spark: SparkSession, source_dir: str, glob: str) -> tuple[Da
         F.min("line_id").alias("first_id"), F.count(F.lit(1)).alias("lines"),
         F.min_by("value", "line_id").alias("first_line"),
     )
-    return lines, splits, len(scan.inputFiles())
+    # A scan partition holds at most maxPartitionBytes, so there are at most this many splits.
+    most = len(scan.inputFiles()) + 2 * scan.rdd.getNumPartitions()
+    return lines, splits, most
 
 
 def _files_with_offsets(splits: DataFrame) -> DataFrame:
@@ -135,13 +137,13 @@ def scan_csv_reports(spark: SparkSession, source_dir: str, glob: str = "*.csv")
     file: a line's number is its place in its split plus the lines of the file's earlier splits. Files whose
     name gives no period are skipped; files of unknown layout keep no rows (``report_files`` lists them).
     """
-    lines, splits, files = _numbered_lines(spark, source_dir, glob)
+    lines, splits, most = _numbered_lines(spark, source_dir, glob)
     known = _files_with_offsets(splits).where(F.col("identity").isNotNull() & F.col("schema_layout").isNotNull())
     known = known.select(
         "path", "block_start", "first_id", "lines_before", "identity.*", "schema_layout", "schema_fingerprint",
         "positions",
     )
-    if files <= _BROADCAST_FILES:
+    if most <= _BROADCAST_SPLITS:
         known = F.broadcast(known)
     rows = (
         lines.join(known, ["path", "block_start"])

@@ -76,13 +76,15 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def upsert(
-    spark: SparkSession, path: str, new: DataFrame, keys: list[str], preserve_existing: bool = False
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], preserve_existing: bool = False,
+    months: DataFrame | None = None,
 ) -> None:
     """Keyed merge into a stored table that rewrites only the months of ``new``.
 
-    The month list is small (a calendar), so it prunes the partitions of the stored table. Spark stages the
-    files of a dynamic overwrite and moves them on commit, after the old files have been read.
+    ``months`` names them where the caller knows them, so that ``new`` is computed once. The list is small
+    (a calendar) and prunes the partitions of the stored table. Spark stages the files of a dynamic overwrite
+    and moves them on commit, after the old files have been read.
     """
-    months = new.select(*BATCH).distinct()
-    existing = read_table(spark, path, new.schema).join(F.broadcast(months), BATCH, "left_semi")
+    touched = months if months is not None else new.select(*BATCH).distinct()
+    existing = read_table(spark, path, new.schema).join(F.broadcast(touched), BATCH, "left_semi")
     write_months(keyed_merge(existing, new, keys, preserve_existing).select(*new.columns), path)
