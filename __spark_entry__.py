@@ -451,9 +451,27 @@ def q_bundle(spark, sf_dir):
     ).select(*BUNDLE.names)
 
 
+try:
+    from curdline.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("curdline.llm"):
+        raise
+    corpus = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline":
+        raise
+    corpus_pipeline = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: run for name, run in globals().items() if name.startswith("q_")}
+    own = {name[2:]: run for name, run in globals().items() if name.startswith("q_")}
+    dealt = corpus.queries() if corpus else {}
+    whole = {"pipeline": corpus_pipeline.run} if corpus and corpus_pipeline else {}
+    return own | dealt | whole
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus and corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    return oracle.oracle_sql() | (corpus.oracle_sql() if corpus else {}) | whole

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +15,15 @@ from curdline.schema import BATCH
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
-_FALLBACK: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests) a temporary one."""
+    """The cluster's shared folder. A local session, as in tests, may do without one; a cluster may not."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    return _FALLBACK.setdefault("folder", tempfile.mkdtemp(prefix="curdline-"))
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file:{context._jvm.System.getProperty('java.io.tmpdir')}/curdline-{context.applicationId}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
