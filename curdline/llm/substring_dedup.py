@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from curdline.llm.words import sliced, words_of
+from curdline.llm.words import in_small_batches, sliced, words_of
 from curdline.sources.tables import materialized
 
 WINDOW = 50
@@ -107,7 +107,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 
     ``copy`` is a hash of the text, as rows with one doc_id may hold several.
     """
-    texts = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS copy").filter(
+    texts = in_small_batches(documents).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS copy").filter(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
     paths = materialized(texts.mapInArrow(_paths, _PATHS), "paths")

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: A slice of a batch holds about so many bytes of text, or one longer text, so that its arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch. Texts may be long; the default of 10,000 rows would hold hundreds of megabytes of them.
+BATCH_ROWS = 500
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
@@ -126,3 +129,9 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
                 total, start = 0, i
             total += size
         yield batch.slice(start)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are sized for texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
