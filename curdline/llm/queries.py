@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curdline.llm import substring_dedup
+from curdline.llm import orc_tokens, packing, substring_dedup
+from curdline.llm.tokens import tokenizer_spec
+from curdline.sources.tables import shared_folder
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +23,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_spec(public_tokenizers.path(TOKENIZER)))
+
+
+def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/curdline/{uuid.uuid4().hex}/token_ids.orc"
+    orc_tokens.write(_table(spark, sf_dir, "documents"), tokenizer_spec(public_tokenizers.path(TOKENIZER)), path)
+    return orc_tokens.checksums(orc_tokens.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 
