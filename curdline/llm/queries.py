@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curdline.llm import orc_tokens, packing, substring_dedup
+from curdline.llm import decontamination, orc_tokens, packing, substring_dedup
 from curdline.llm.tokens import tokenizer_spec
 from curdline.sources.tables import shared_folder
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
