@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curdline.llm import decontamination, orc_tokens, packing, substring_dedup
+from curdline.llm import decontamination, near_duplicates, orc_tokens, packing, substring_dedup
 from curdline.llm.tokens import tokenizer_spec
 from curdline.sources.tables import shared_folder
 
@@ -23,6 +23,10 @@ def op6_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.labelled(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 

@@ -111,14 +111,15 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
     paths = materialized(texts.mapInArrow(_paths, _PATHS), "paths")
-    shared = (
+    # what is joined below is written first: then both sides are plain shuffles, and Spark splits a hot key
+    shared = materialized(
         paths.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .filter("low < high").select("seed")
+        .filter("low < high").select("seed"), "shared_seeds"
     )
     met = materialized(paths.join(shared, "seed", "left_semi"), "met_paths")
     kinds = met.groupBy("seed", "path").agg(F.min("doc_id").alias("source"))
     branching = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
-    sources = kinds.join(branching.withColumn("open", F.lit(True)), "seed", "left")
+    sources = materialized(kinds.join(branching.withColumn("open", F.lit(True)), "seed", "left"), "sources")
     placed = materialized(met.join(sources, ["seed", "path"]), "placed_paths")
     whole = placed.filter("doc_id > source").select("doc_id", "copy", "at", "edges")
 
@@ -131,8 +132,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
             _edges, "doc_id bigint, copy bigint, seed bigint, edge bigint, at int"
         ), "edges"
     )
-    least = edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    single = edges.join(least.filter("source < last"), ["seed", "edge"]).filter("doc_id > source").select(
+    least = materialized(
+        edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+        .filter("source < last").drop("last"), "shared_edges"
+    )
+    single = edges.join(least, ["seed", "edge"]).filter("doc_id > source").select(
         "doc_id", "copy", "at", F.lit(1).alias("edges")
     )
     return whole.union(single).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "edges")).alias("cuts"))
