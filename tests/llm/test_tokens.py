@@ -37,6 +37,12 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert [list(np.frombuffer(x, "<u4")) for x in encode(texts)] == [ids_of(t) for t in texts]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "é", "C", "'s", ".", ",", "!", " ", "\n", "7"]), max_size=14).map("".join))
+def test_any_short_text(text):
+    assert list(np.frombuffer(tokens.encoder(SPEC).encode([text])[0], "<u4")) == ids_of(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é'sñ.,!?: \n\t ​<|1日"), max_size=40))
 def test_any_text(text):
