@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curdline.llm import chat, decontamination, kd_sharding, near_duplicates, oracle, orc_tokens, packing, substring_dedup, toxicity
+from curdline.llm import chat, decontamination, kd_sharding, near_duplicates, oracle, orc_tokens, packing, spot_signatures, substring_dedup, toxicity
 from curdline.llm.tokens import tokenizer_spec
 from curdline.sources.tables import shared_folder
 
@@ -29,6 +29,10 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame(
