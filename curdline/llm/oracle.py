@@ -20,3 +20,42 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def licences_sql() -> str:
+    """The licence scan, from the same fixed sentences and rules."""
+    from curdline.llm.licenses import ENDS, NOT_KEPT, RULES, known_sentences
+
+    def text(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    table = ", ".join(f"({text(s)}, {text(i)})" for s, i in known_sentences().items())
+    steps, last = [], "ids"
+    for k, (_, rule) in enumerate(RULES):
+        wanted = text("".join(f"<{i}>" for i in rule))
+        steps.append(f"r{k} AS (SELECT *, contains(s{k}, {wanted}) AS m{k}, replace(s{k}, {wanted}, '|') AS s{k + 1} FROM {last})")
+        last = f"r{k}"
+    order = []
+    for name, _ in RULES:
+        if name not in order:
+            order.append(name)
+    names = ", ".join(
+        f"CASE WHEN {' OR '.join(f'm{k}' for k, (n, _) in enumerate(RULES) if n == name)} THEN {text(name)} END" for name in order
+    )
+    return f"""
+WITH known(sentence, id) AS (VALUES {table}),
+cut AS (SELECT row_number() OVER () AS r, doc_id,
+  string_split(regexp_replace(coalesce(text, ''), {text(ENDS)}, '\\1' || chr(1), 'g'), chr(1)) AS sentences FROM documents),
+s AS (SELECT r, doc_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS i FROM cut),
+w AS (SELECT s.*, known.id FROM s LEFT JOIN known ON sentence = trim(lower(regexp_replace(s, {text(NOT_KEPT)}, ' ', 'g')))),
+lines AS (SELECT r, doc_id, i, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS j
+  FROM w WHERE id IS NULL),
+hits AS (
+  SELECT r, doc_id, i, 0 AS j, id FROM w WHERE id IS NOT NULL
+  UNION ALL SELECT r, doc_id, i, j, known.id FROM lines JOIN known
+    ON sentence = trim(lower(regexp_replace(line, {text(NOT_KEPT)}, ' ', 'g')))),
+ids AS (SELECT r, doc_id, string_agg(id, ' ' ORDER BY i, j) AS sentences, string_agg('<' || id || '>', '' ORDER BY i, j) AS s0
+  FROM hits GROUP BY r, doc_id),
+{", ".join(steps)}
+SELECT doc_id, sentences, coalesce(nullif(concat_ws(' ', {names}), ''), 'unknown') AS licences FROM {last}
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curdline.llm import chat, decontamination, kd_sharding, near_duplicates, oracle, orc_tokens, packing, spot_signatures, substring_dedup, toxicity
+from curdline.llm import chat, decontamination, kd_sharding, licenses, near_duplicates, oracle, orc_tokens, packing, spot_signatures, substring_dedup, toxicity
 from curdline.llm.tokens import tokenizer_spec
 from curdline.sources.tables import shared_folder
 
@@ -33,6 +33,10 @@ def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame(
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_prefix_target_chat": oracle.CHAT}
+    return {"op4_licence_sentences": oracle.licences_sql(), "op5_prefix_target_chat": oracle.CHAT}
