@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curdline.functions.expressions import median_sql, month_index, most_frequent_sql, season_of, stable_sql
-from curdline.operators.group_summary import HOT_ROWS, HOT_SHARE, summarize_groups
+from curdline.operators.group_summary import HOT_ROWS, summarize_groups
 from curdline.operators.month_stats import clean_measures
 from curdline.schema import ALL_YEAR, BASELINE_SUFFIXES, LIMITS, METRICS, SOCIETY, SUFFIXES
 
@@ -141,13 +141,11 @@ def baselines_for_period(stats: DataFrame, year: int, month: int) -> DataFrame:
     return baselines_by_period(earlier, wanted)
 
 
-def baselines_from_records(
-    records: DataFrame, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
-) -> DataFrame:
+def baselines_from_records(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Baselines straight from records: per season and all year, groups of at least ten rows, always eligible."""
     grouped = clean_measures(records).withColumn("season", F.explode(F.array(F.col("season"), F.lit(ALL_YEAR))))
     keys = [*SOCIETY, "season"]
-    summary = summarize_groups(grouped, keys, {"record_count": F.count(F.lit(1))}, hot_rows, hot_share, trim=True)
+    summary = summarize_groups(grouped, keys, {"record_count": F.count(F.lit(1))}, hot_rows, trim=True)
     trim = (F.col("snf_pct_std") > LIMITS.trim_std) & (F.col("snf_trim_count") >= LIMITS.trim_min_records)
     return (
         summary.where(F.col("record_count") >= LIMITS.raw_baseline_min_records)

@@ -5,8 +5,8 @@ sorted where it lands. A group above the row limit never becomes one array. It i
 value, cut into value buckets, and the wanted ranks are looked up in the buckets that hold them; every step
 is an aggregate with map-side combine or a window over one bucket.
 
-The list of large groups is broadcast. Its length is bounded by construction: a group counts as large only
-above ``HOT_SHARE`` of all rows, so there are fewer than ``1 / HOT_SHARE`` of them.
+A group counts as large above ``HOT_ROWS`` rows, whatever the size of the whole table. The list of large groups is
+broadcast; as each stands for more than HOT_ROWS rows, a million million rows give fewer than a million of them.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curdline.functions.expressions import all_of, most_frequent_by, most_frequent_sql, quantile_sql, stable_sql
+from curdline.functions.expressions import all_of, most_frequent_by, quantile_sql, stable_sql
 from curdline.schema import METRICS
 
-HOT_ROWS = 100_000
-HOT_SHARE = 1e-6
+HOT_ROWS = 1_000_000
 BUCKETS_PER_UNIT = 128
 QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p90": 0.9, "p10": 0.1}
 
@@ -28,7 +27,6 @@ def summarize_groups(
     keys: list[str],
     extras: dict[str, Column],
     hot_rows: int = HOT_ROWS,
-    hot_share: float = HOT_SHARE,
     trim: bool = False,
 ) -> DataFrame:
     """One row per group: ``extras`` plus society name (mode) and the nine statistics of each measure.
@@ -37,16 +35,15 @@ def summarize_groups(
     group's own p90) and, with ``trim``, ``snf_trim_count/mean/std`` (rows within the group's own [q1, q3]).
     """
     df = df.where(all_of([F.col(k).isNotNull() for k in keys]))
-    hot = large_groups(df, keys, hot_rows, hot_share)
+    hot = large_groups(df, keys, hot_rows)
     small = df.join(F.broadcast(hot), keys, "left_anti")
     large = df.join(F.broadcast(hot), keys, "left_semi")
     return _summarize_small(small, keys, extras, trim).unionByName(_summarize_large(large, keys, extras, trim))
 
 
-def large_groups(df: DataFrame, keys: list[str], hot_rows: int, hot_share: float) -> DataFrame:
+def large_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    share_of_all = counts.agg(F.sum("rows") * hot_share).scalar()
-    return counts.where(F.col("rows") > F.greatest(F.lit(float(hot_rows)), share_of_all)).select(*keys)
+    return counts.where(F.col("rows") > hot_rows).select(*keys)
 
 
 def _moments() -> list[Column]:
@@ -85,13 +82,12 @@ def _summarize_small(df: DataFrame, keys: list[str], extras: dict[str, Column],
 
     Sums run over sorted values, so the result does not depend on the order in which rows arrive.
     """
-    packed = F.struct("society_name", *METRICS)
     grouped = df.repartition(*keys).groupBy(*keys).agg(
-        *[c.alias(name) for name, c in extras.items()], F.collect_list(packed).alias("rows")
+        *[c.alias(name) for name, c in extras.items()], F.mode("society_name", True).alias("society_name"),
+        F.collect_list(F.struct(*METRICS)).alias("rows"),
     )
     ranked = grouped.withColumns({
-        "society_name": F.expr(most_frequent_sql("array_compact(rows.society_name)")),
-        **{f"{m}_sorted": F.expr(f"sort_array(array_compact(rows.{m}))") for m in METRICS},
+        f"{m}_sorted": F.expr(f"sort_array(array_compact(rows.{m}))") for m in METRICS
     }).drop("rows")
     statistics = {}
     for m in METRICS:

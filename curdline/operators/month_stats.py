@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curdline.functions.expressions import finite
-from curdline.operators.group_summary import HOT_ROWS, HOT_SHARE, summarize_groups
+from curdline.operators.group_summary import HOT_ROWS, summarize_groups
 from curdline.schema import LIMITS, METRICS, MONTH_KEYS, MONTH_STATS
 
 
@@ -19,7 +19,6 @@ def month_stats(
     filename: Column | None = None,
     parser_warnings: int = 0,
     hot_rows: int = HOT_ROWS,
-    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """One row per society and month, in the column order of ``schema.MONTH_STATS``."""
     extras = {
@@ -30,7 +29,7 @@ def month_stats(
         "low_qty_count": F.count_if(F.col("qty") < LIMITS.low_qty),
         "filename": F.min(filename if filename is not None else F.lit("")),
     }
-    stats = summarize_groups(clean_measures(records), MONTH_KEYS, extras, hot_rows, hot_share)
+    stats = summarize_groups(clean_measures(records), MONTH_KEYS, extras, hot_rows)
     stats = stats.withColumns({
         "high_snf_spike_count": F.col("snf_above_p90"),
         "processed_at": F.current_timestamp(),
