@@ -123,8 +123,14 @@ def q_baseline_all_periods(spark, sf_dir):
 
 
 def q_baseline_snf_trim(spark, sf_dir):
-    rows = _baseline_table(spark, sf_dir).where(F.col("season") == "all")
-    return rounded(rows.select(*MONTH_KEYS, "season", "snf_pct_mean", "snf_pct_std"))
+    return rounded(_baseline_table(spark, sf_dir).select(*MONTH_KEYS, "season", "snf_pct_mean", "snf_pct_std"))
+
+
+def q_baseline_months_without_values(spark, sf_dir):
+    known = "CASE WHEN (file_month + CAST(dcs AS BIGINT)) % 3 <> 0 THEN clr END"
+    records = fixtures.records(spark, sf_dir).withColumn("clr", F.expr(known))
+    rows = bl.baselines_by_period(month_stats(records))
+    return rounded(rows.select(*MONTH_KEYS, "season", "record_count", "clr_mean", "clr_std", "clr_median", "clr_p90"))
 
 
 def q_baseline_snapshot(spark, sf_dir):

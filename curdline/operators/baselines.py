@@ -61,6 +61,8 @@ def _expanding_states(rows: DataFrame) -> DataFrame:
         "trim_total": f"sum(CASE WHEN {in_band} THEN record_count END)",
     }
     for m in METRICS:
+        # a month without a value of this measure has no weight in it
+        so_far[f"{m}_total"] = f"sum(CASE WHEN {m}_mean IS NOT NULL THEN record_count END)"
         so_far |= {f"{m}_{k}": f"sum({term})" for k, term in _pooling_terms(m).items()}
         so_far |= {f"{m}_{s}_months": f"collect_list({m}_{s})" for s in ["median", "q1", "q3"]}
         so_far |= {f"{m}_{s}_avg": f"avg({m}_{s})" for s in ["p90", "p10"]}
@@ -88,14 +90,14 @@ def _pooled(prefix: str, n: str, shift: str) -> tuple[str, str]:
     s1, s2, within = (f"{prefix}_{k}" for k in ["s1", "s2", "within"])
     mean = f"CASE WHEN {n} > 0 THEN {shift} + {s1} / {n} END"
     between = f"greatest({s2} - {s1} * {s1} / {n}, 0D)"
-    return stable_sql(mean), stable_sql(f"CASE WHEN {n} > 1 THEN sqrt(({within} + {between}) / ({n} - 1)) ELSE 0D END")
+    return stable_sql(mean), stable_sql(f"CASE WHEN {n} > 1 THEN sqrt(({within} + {between}) / ({n} - 1)) WHEN {n} > 0 THEN 0D END")
 
 
 def _state_statistics(states: DataFrame) -> DataFrame:
     """The final statistics of each state; the arrays end here, before a state is repeated per target month."""
     statistics: list[str] = []
     for m in METRICS:
-        mean, std = _pooled(m, "total", f"{m}_shift")
+        mean, std = _pooled(m, f"{m}_total", f"{m}_shift")
         if m == "snf_pct":
             trim_mean, trim_std = _pooled("trim", "trim_total", "snf_pct_shift")
             trim = f"{std} > {LIMITS.trim_std} AND trim_months >= {LIMITS.trim_min_months}"

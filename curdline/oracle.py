@@ -55,13 +55,14 @@ _G = "facility, dcs, bs, tym"
 
 def _baseline_ctes() -> str:
     means = ", ".join(
-        f"sum(record_count*{m}_mean)/sum(record_count) AS {m}_wm, median({m}_median) AS {m}_median, "
+        f"sum(record_count*{m}_mean)/sum(record_count) FILTER ({m}_mean IS NOT NULL) AS {m}_wm, median({m}_median) AS {m}_median, "
         f"median({m}_q1) AS {m}_q1, median({m}_q3) AS {m}_q3, avg({m}_p90) AS {m}_p90, avg({m}_p10) AS {m}_p10"
         for m in METRICS
     )
     spread = ", ".join(
-        f"CASE WHEN sum(record_count) <= 1 THEN 0 ELSE sqrt(sum((record_count-1)*coalesce({m}_std,0)*coalesce({m}_std,0)"
-        f" + record_count*({m}_mean-{m}_wm)*({m}_mean-{m}_wm)) / (sum(record_count)-1)) END AS {m}_ps"
+        f"CASE WHEN sum(record_count) FILTER ({m}_mean IS NOT NULL) <= 1 THEN 0 ELSE sqrt(sum((record_count-1)*coalesce({m}_std,0)*coalesce({m}_std,0)"
+        f" + record_count*({m}_mean-{m}_wm)*({m}_mean-{m}_wm))"
+        f" / (sum(record_count) FILTER ({m}_mean IS NOT NULL) - 1)) END AS {m}_ps"
         for m in METRICS
     )
     band = "snf_pct_mean >= snf_pct_q1 AND snf_pct_mean <= snf_pct_q3"
@@ -268,8 +269,11 @@ def oracle_sql() -> dict[str, str]:
     base = f"WITH {R},\n{ST},\n{BL}"
     q["baseline_all_periods"] = (f"{base}\nSELECT {K}, season, society_name, record_count, prior_month_count, "
                                  f"same_season_prior_month_count, eligible, {_r6(_BSTATS)} FROM bl")
-    q["baseline_snf_trim"] = (f"{base}\nSELECT {K}, season, {_r6(['snf_pct_mean', 'snf_pct_std'])} FROM bl "
-                              f"WHERE season = 'all'")
+    q["baseline_snf_trim"] = (f"{base}\nSELECT {K}, season, {_r6(['snf_pct_mean', 'snf_pct_std'])} FROM bl")
+    gaps = f"""WITH r0 AS ({RECORDS_SQL}),
+r AS (SELECT * REPLACE (CASE WHEN (file_month + CAST(dcs AS BIGINT)) % 3 <> 0 THEN clr END AS clr) FROM r0),
+{ST},\n{BL}"""
+    q["baseline_months_without_values"] = (f"{gaps}\nSELECT {K}, season, record_count, {_r6(['clr_mean', 'clr_std', 'clr_median', 'clr_p90'])} FROM bl")
     q["baseline_snapshot"] = (f"{base}\nSELECT {K}, season, society_name, record_count, prior_month_count, "
                               f"same_season_prior_month_count, eligible FROM bl")
     q["eligible_baseline_rows"] = (f"{base}\nSELECT file_year, file_month, CAST(sum(eligible) AS BIGINT) AS "

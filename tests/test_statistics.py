@@ -113,6 +113,9 @@ def test_baselines_from_records(records, hot_rows):
 
 
 def pooled(group, m):
+    group = [g for g in group if g[f"{m}_mean"] is not None]
+    if not group:
+        return None, None
     n = np.array([g["record_count"] for g in group], float)
     means, stds = (np.array([g[f"{m}_{s}"] for g in group], float) for s in ("mean", "std"))
     mean = np.average(means, weights=n)
@@ -148,16 +151,21 @@ def check_baselines(stats_rows, got, targets):
                 if len(kept) >= 2:
                     mean, std = pooled(kept, m)
                     trimmed += 1
+            if mean is None:
+                assert r[f"{m}_mean"] is r[f"{m}_std"] is r[f"{m}_median"] is r[f"{m}_p90"] is None
+                continue
             assert near(r[f"{m}_mean"], mean) and math.isclose(r[f"{m}_std"], std, abs_tol=1e-8), (key, m, r[f"{m}_std"], std)
+            known = [g for g in group if g[f"{m}_mean"] is not None]
             for s in ("median", "q1", "q3"):
-                assert near(r[f"{m}_{s}"], statistics.median(g[f"{m}_{s}"] for g in group))
+                assert near(r[f"{m}_{s}"], statistics.median(g[f"{m}_{s}"] for g in known))
             for s in ("p90", "p10"):
-                assert near(r[f"{m}_{s}"], np.mean([g[f"{m}_{s}"] for g in group]))
+                assert near(r[f"{m}_{s}"], np.mean([g[f"{m}_{s}"] for g in known]))
     return trimmed
 
 
 def test_baselines_of_all_targets_at_once(spark, records):
-    rows = [{**r, "clr": r["clr"] or 28.0} for r in some_rows(seed=3)]
+    rows = some_rows(seed=3)
+    rows = [{**r, "clr": None if r["file_month"] in (1, 5) or r["dcs"] == 103.5 else r["clr"]} for r in rows]
     rows = [r for r in rows if not (r["dcs"] == 102.0 and r["file_month"] in (3, 4, 6))]
     stats = month_stats(records(rows)).cache()
     plain = [r.asDict() for r in stats.collect()]
@@ -168,8 +176,7 @@ def test_baselines_of_all_targets_at_once(spark, records):
 
 
 def test_one_target_at_a_time_gives_the_same(records):
-    rows = [{**r, "clr": r["clr"] or 28.0} for r in some_rows(seed=4)]
-    stats = month_stats(records(rows)).cache()
+    stats = month_stats(records(some_rows(seed=4))).cache()
     whole = {tuple(r) for r in bl.baselines_by_period(stats).collect()}
     single = {tuple(r) for m in range(1, 9) for r in bl.baselines_for_period(stats, 2025, m).collect()}
     assert whole == single
@@ -182,6 +189,12 @@ def test_duplicated_months_count_as_rows(records):
     assert r["prior_month_count"] == 6 and r["same_season_prior_month_count"] == 0
 
 
+def test_months_without_values_have_no_weight(records):
+    rows = [{"file_month": m, "serial_no": i, "clr": c} for m, c in [(4, 27.0), (5, None), (6, 30.0)] for i in range(10)]
+    r = bl.baselines_for_period(month_stats(records(rows)), 2025, 7).where("season = 'all'").first()
+    assert (r["clr_mean"], r["record_count"]) == (28.5, 30)
+
+
 def test_eligibility_with_three_summer_months(records):
     rows = [{"file_month": m, "serial_no": i} for m, n in [(4, 10), (5, 12), (6, 14)] for i in range(n)]
     r = bl.baselines_for_period(month_stats(records(rows)), 2025, 7).where("season = 'summer'").first()
