@@ -7,6 +7,7 @@ shared folder, later ones read it, as the job itself does between its stages.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -133,6 +134,18 @@ def q_baseline_months_without_values(spark, sf_dir):
     return rounded(rows.select(*MONTH_KEYS, "season", "record_count", "clr_mean", "clr_std", "clr_median", "clr_p90"))
 
 
+def q_replaced_periods(spark, sf_dir):
+    """Month statistics stored, then those of one facility's even years stored again with fewer producers."""
+    stats = derived(spark, sf_dir).stats
+    path = f"{tables.shared_folder(spark)}/curdline/{uuid.uuid4().hex}/replaced_periods"
+    tables.upsert(spark, path, stats, MONTH_KEYS)
+    given = stats.where("facility = 'FacilityA' AND file_year % 2 = 0")
+    periods = given.select(*PERIOD).distinct()
+    tables.upsert(spark, path, given.where("dcs % 3 <> 0"), MONTH_KEYS, months=periods.select(*BATCH),
+                  keep=lambda rows: rows.join(periods, PERIOD, "left_anti"))
+    return spark.read.schema(stats.schema).parquet(path).select(*MONTH_KEYS, "season", "society_name", "record_count")
+
+
 def q_baseline_snapshot(spark, sf_dir):
     return rollups.baseline_snapshot(derived(spark, sf_dir).baselines)
 

@@ -274,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
 r AS (SELECT * REPLACE (CASE WHEN (file_month + CAST(dcs AS BIGINT)) % 3 <> 0 THEN clr END AS clr) FROM r0),
 {ST},\n{BL}"""
     q["baseline_months_without_values"] = (f"{gaps}\nSELECT {K}, season, record_count, {_r6(['clr_mean', 'clr_std', 'clr_median', 'clr_p90'])} FROM bl")
+    q["replaced_periods"] = (f"WITH {R},\n{ST}\nSELECT {K}, season, society_name, record_count FROM st "
+                             f"WHERE NOT (facility = 'FacilityA' AND file_year % 2 = 0 AND dcs % 3 = 0)")
     q["baseline_snapshot"] = (f"{base}\nSELECT {K}, season, society_name, record_count, prior_month_count, "
                               f"same_season_prior_month_count, eligible FROM bl")
     q["eligible_baseline_rows"] = (f"{base}\nSELECT file_year, file_month, CAST(sum(eligible) AS BIGINT) AS "

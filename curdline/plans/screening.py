@@ -56,16 +56,20 @@ class StateTables:
 
 
 def run_incremental(
-    spark: SparkSession, records: DataFrame, state_dir: str, filename: str = "", stored: bool = False
+    spark: SparkSession, records: DataFrame, state_dir: str, filename: str = "", stored: bool = False,
+    force: bool = False,
 ) -> DataFrame:
     """Screen the periods that have no bundle yet and merge the results into the derived tables.
 
+    With ``force`` all periods of ``records`` are screened, and what the tables held of them is replaced, so that a
+    corrected report of one facility can be run again.
+
     Several stages read the records. Unless they come from a ``stored`` columnar table, the new ones are
     written once, so that report files are not parsed again for each stage.
     """
     state = StateTables(state_dir)
     bundles = tables.read_table(spark, state.report_bundles, BUNDLE)
-    fresh = merge.only_new_periods(records, bundles)
+    fresh = records if force else merge.only_new_periods(records, bundles)
     if fresh.limit(1).isEmpty():
         raise ValueError("No new reporting periods were available; existing periods were left unchanged.")
     return _run(spark, fresh, state, PERIOD, filename, stored)
@@ -89,8 +93,9 @@ def _run(
 ) -> DataFrame:
     """Write every derived table, bundles last.
 
-    A bundle marks its period as done. If the job dies earlier, the period is simply computed again, and the
-    keyed merges replace what the first attempt wrote.
+    A bundle marks its period as done. If the job dies earlier, the period is simply computed again. Whatever the
+    tables held of the run's periods is replaced, also rows that are not found again; only review cases are merged,
+    as they carry human work. A batch replaces its month but for facilities that have documents of their own.
     """
     if not stored:
         records = tables.materialized(records, "records")
@@ -99,13 +104,21 @@ def _run(
     def of_these_months(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(months), BATCH, "left_semi")
 
+    run_periods = tables.materialized(records.select(*PERIOD).distinct(), "run_periods")
+    done = merge.completed_periods(tables.read_table(spark, state.report_bundles, BUNDLE))
+    own = tables.materialized(done.where(F.col("facility") != BATCH_FACILITY), "own_documents")
+
+    def others(stored_rows: DataFrame) -> DataFrame:
+        rest = stored_rows.join(run_periods, PERIOD, "left_anti")
+        return rest if "facility" in scope else rest.join(own, PERIOD, "left_semi")
+
     def save(name: str, rows: DataFrame, keys: list[str], preserve_existing: bool = False) -> None:
-        tables.upsert(spark, getattr(state, name), rows, keys, preserve_existing, months)
+        keep = None if preserve_existing else others
+        tables.upsert(spark, getattr(state, name), rows, keys, preserve_existing, months, keep)
 
     save("month_stats", month_stats(records, F.lit(filename)), MONTH_KEYS)
     known = tables.read_table(spark, state.month_stats, MONTH_STATS)
     # The stored table also holds earlier rows of these months; a run reports on its own facilities.
-    run_periods = records.select(*PERIOD).distinct()
     stats = of_these_months(known).join(run_periods, PERIOD, "left_semi")
 
     target_baselines = baselines_by_period(known, months)

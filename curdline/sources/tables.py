@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table; one that was never written reads as empty."""
     if path_exists(spark, path):
@@ -76,14 +82,21 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 def upsert(
     spark: SparkSession, path: str, new: DataFrame, keys: list[str], preserve_existing: bool = False,
-    months: DataFrame | None = None,
+    months: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Keyed merge into a stored table that rewrites only the months of ``new``.
 
     ``months`` names them where the caller knows them, so that ``new`` is computed once. The list is small
-    (a calendar) and prunes the partitions of the stored table. Spark stages the files of a dynamic overwrite
-    and moves them on commit, after the old files have been read.
+    (a calendar) and prunes the partitions of the stored table. ``keep`` cuts the stored rows of these months
+    down to those that may stay; a month of which nothing is left goes. The merged rows are written whole to the
+    shared folder before the first stored file is touched, so a job that dies in the swap loses nothing.
     """
     touched = months if months is not None else new.select(*BATCH).distinct()
     existing = read_table(spark, path, new.schema).join(F.broadcast(touched), BATCH, "left_semi")
-    write_months(keyed_merge(existing, new, keys, preserve_existing).select(*new.columns), path)
+    if keep is not None:
+        existing = keep(existing)
+    merged = materialized(keyed_merge(existing, new, keys, preserve_existing).select(*new.columns), "merged")
+    emptied = touched.join(merged.select(*BATCH).distinct(), BATCH, "left_anti").collect()  # months: a calendar
+    write_months(merged, path)
+    for month in emptied:
+        _delete(spark, path + "".join(f"/{k}={month[k]}" for k in BATCH))

@@ -14,21 +14,22 @@ from curdline.plans import screening
 from curdline.schema import PERIOD
 
 
-def months(records, facility="FacilityAlpha", societies=4, event=True):
-    rows = []
-    for month in range(1, 5):
-        for s in range(1, societies + 1):
-            for d in range(1, 29):
-                shift = (d % 5) - 2
-                row = {
-                    "facility": facility, "dcs": 100.0 + s, "society_name": f"Synthetic Society {s}", "serial_no": d,
-                    "date": dt.date(2026, month, d), "shift": "M" if d % 2 else "E", "qty": 100.0 + shift,
-                    "fat_pct": 5.0 + shift * 0.05, "snf_pct": 8.6 + shift * 0.04, "clr": 28.0 + shift * 0.1,
-                    "file_month": month, "file_year": 2026, "season": "summer" if month >= 4 else "winter",
-                }
-                if event and month == 4 and s == 1 and d == 1:
-                    row |= {"snf_pct": 7.0, "clr": 23.0}
-                rows.append(row)
+WINTER = [(2024, 10), (2024, 11), (2024, 12), (2025, 1)]
+
+
+def winter(records, facility="Hillside", producers=5, dip=True):
+    """Four months of six deliveries a week; each measure is its level plus or minus one step, by a bit of the day."""
+    days = [d for d in range(1, 31) if d % 7]
+    steps = {"qty": (55.0, 4.0), "fat_pct": (4.25, 0.0625), "snf_pct": (9.0, 0.03125), "clr": (30.0, 0.25)}
+    rows = [
+        {"facility": facility, "dcs": float(p), "society_name": f"Yard {p}", "serial_no": 100 * p + d, "shift": "M",
+         "date": dt.date(y, m, d), "file_year": y, "file_month": m, "season": "winter"}
+        | {name: level + (step if d >> bit & 1 else -step) for bit, (name, (level, step)) in enumerate(steps.items())}
+        for y, m in WINTER for p in range(1, producers + 1) for d in days
+    ]
+    if dip:
+        odd = next(r for r in rows if r["dcs"] == 2.0 and r["date"] == dt.date(2025, 1, 9))
+        odd |= {"snf_pct": 7.5, "clr": 24.0}
     return records(rows)
 
 
@@ -39,41 +40,41 @@ def documents(spark, state):
 
 def test_incremental_runs(spark, records, tmp_path):
     state = str(tmp_path / "state")
-    everything = months(records)
-    first = everything.where("file_month <= 2")
+    everything = winter(records)
+    first = everything.where("file_month IN (10, 11)")
     assert {r["mode"] for r in screening.run_incremental(spark, first, state).collect()} == {"seed_only"}
     assert {r["period"] for r in screening.skipped_periods(spark, everything, state).collect()} == {
-        "FacilityAlpha:2026-01", "FacilityAlpha:2026-02"}
+        "Hillside:2024-10", "Hillside:2024-11"}
     summary = {r["file_month"]: r for r in screening.run_incremental(spark, everything, state).collect()}
-    assert {m: r["mode"] for m, r in summary.items()} == {3: "seed_only", 4: "detection"}
-    assert summary[4]["final_flags"] == 1 and summary[4]["records_processed"] == 112
+    assert {m: r["mode"] for m, r in summary.items()} == {12: "seed_only", 1: "detection"}
+    assert summary[1]["final_flags"] == 1 and summary[1]["records_processed"] == 130
 
     rows, docs = documents(spark, state)
     assert [(r["file_month"], r["mode"], r["parts"]) for r in rows] == [
-        (1, "seed_only", 1), (2, "seed_only", 1), (3, "seed_only", 1), (4, "detection", 1)]
-    assert [d["history_inputs"]["historical_month_stats_count"] for d in docs] == [0, 4, 8, 12]
-    april = docs[3]
-    assert len(april) == 15 and april["methodology_version"] == "screening-v1-safety"
-    assert [r["diagnosis"] for r in april["report_records"]] == ["LOW_DENSITY_COMPOSITION_SCREEN"]
-    assert april["report_records"][0]["date"] == "01-04-2026"
-    assert len(april["current_month_stats"]) == 4 and len(april["sections"]["calibration"]["watchlist"]) == 4
-    assert april["sections"]["executive_summary"]["top_findings"][0]["severity"] == "ISOLATED"
+        (10, "seed_only", 1), (11, "seed_only", 1), (12, "seed_only", 1), (1, "detection", 1)]
+    assert [d["history_inputs"]["historical_month_stats_count"] for d in docs] == [0, 5, 10, 15]
+    january = docs[3]
+    assert len(january) == 15 and january["methodology_version"] == "screening-v1-safety"
+    assert [r["diagnosis"] for r in january["report_records"]] == ["LOW_DENSITY_COMPOSITION_SCREEN"]
+    assert january["report_records"][0]["date"] == "09-01-2025"
+    assert len(january["current_month_stats"]) == 5 and len(january["sections"]["calibration"]["watchlist"]) == 5
+    assert january["sections"]["executive_summary"]["top_findings"][0]["severity"] == "ISOLATED"
     assert docs[0]["sections"]["executive_summary"]["top_findings"][0]["deviation_score"] == 0.0
-    assert "Calibration report for FacilityAlpha 2026-01" in docs[0]["retrieval"]["summary_text"]
-    assert april["retrieval"]["top_diagnoses"] == {"LOW_DENSITY_COMPOSITION_SCREEN": 1}
+    assert "Calibration report for Hillside 2024-10" in docs[0]["retrieval"]["summary_text"]
+    assert january["retrieval"]["top_diagnoses"] == {"LOW_DENSITY_COMPOSITION_SCREEN": 1}
 
     with pytest.raises(ValueError, match="No new reporting periods"):
         screening.run_incremental(spark, everything, state)
     assert len(documents(spark, state)[0]) == 4
     audit = spark.read.parquet(f"{state}/audit_trail")
     assert audit.count() == 20 and audit.select("facility").distinct().count() == 1
-    assert spark.read.parquet(f"{state}/month_stats").count() == 16
+    assert spark.read.parquet(f"{state}/month_stats").count() == 20
 
     # One period at a time gives the same flags as all at once.
     whole = screening.screen(everything).collect()
     stats = month_stats(everything)
-    single = [r for m in range(1, 5) for r in screening.score(
-        everything.where(f"file_month = {m}"), baselines_for_period(stats, 2026, m)).collect()]
+    single = [r for y, m in WINTER for r in screening.score(
+        everything.where(f"file_month = {m}"), baselines_for_period(stats, y, m)).collect()]
     assert sorted(map(str, whole)) == sorted(map(str, single)) and len(whole) == 1
 
     case = screening.read_cases(spark, state).first()
@@ -85,11 +86,11 @@ def test_incremental_runs(spark, records, tmp_path):
 
 def test_batch_of_facilities(spark, records, tmp_path):
     state = str(tmp_path / "state")
-    both = months(records, "FacilityAlpha", 1, False).unionByName(months(records, "FacilityBeta", 1, False)).where("file_month = 1")
+    both = winter(records, "Hillside", 1, False).unionByName(winter(records, "Harbour", 1, False)).where("file_month = 10")
     screening.run_batch(spark, both, state)
     rows, docs = documents(spark, state)
     assert [(r["facility"], r["mode"]) for r in rows] == [("ALL", "seed_only")]
-    assert docs[0]["file_identity"]["facilities"] == ["FacilityAlpha", "FacilityBeta"]
+    assert docs[0]["file_identity"]["facilities"] == ["Harbour", "Hillside"]
     assert docs[0]["processing_metrics"]["facility_count"] == 2 and len(docs[0]["current_month_stats"]) == 2
     assert {r["facility"] for r in spark.read.parquet(f"{state}/audit_trail").collect()} == {"ALL"}
     with pytest.raises(RuntimeError, match="already present"):
@@ -100,17 +101,40 @@ def test_batch_of_facilities(spark, records, tmp_path):
     assert spark.read.parquet(f"{state}/month_stats").count() == 2 and len(documents(spark, state)[0]) == 1
 
 
+def test_forced_rerun_leaves_nothing_stale(spark, records, tmp_path):
+    state = str(tmp_path / "state")
+    both = winter(records).unionByName(winter(records, "Harbour", 2, False))
+    screening.run_incremental(spark, both, state)
+    # the corrected report lacks two producers and the odd delivery
+    corrected = both.where("facility = 'Hillside' AND file_month = 1 AND dcs NOT IN (2, 3)")
+    assert [(r["file_month"], r["final_flags"]) for r in screening.run_incremental(spark, corrected, state, force=True).collect()] == [(1, 0)]
+
+    def stored(name):
+        return spark.read.parquet(f"{state}/{name}").where("file_month = 1")
+
+    assert {(r["facility"], r["dcs"]) for r in stored("month_stats").collect()} == {
+        ("Hillside", 1.0), ("Hillside", 4.0), ("Hillside", 5.0), ("Harbour", 1.0), ("Harbour", 2.0)}
+    assert not spark.read.schema("dcs double").option("pathGlobFilter", "*.parquet").parquet(f"{state}/flagged").count()
+    assert stored("daily_summary").where("facility = 'Hillside'").agg({"total_active": "max"}).first()[0] == 3
+    rows, docs = documents(spark, state)
+    assert len(rows) == 8
+    january = next(d for r, d in zip(rows, docs, strict=True) if (r["facility"], r["file_month"]) == ("Hillside", 1))
+    assert len(january["current_month_stats"]) == 3 and january["report_records"] == []
+    # the earlier months are as they were
+    assert spark.read.parquet(f"{state}/month_stats").count() == 15 + 6 + 5
+
+
 def test_long_documents_are_split_and_stay_whole(spark, records):
-    data = months(records).cache()
+    data = winter(records).cache()
     stats = month_stats(data).drop("processed_at").cache()
-    flags = screening.score(data, baselines_for_period(stats, 2026, 4))
+    flags = screening.score(data, baselines_for_period(stats, 2025, 1))
     counts = rollups.flag_counts(flags)
     daily = shared_events.daily_summary(flags, shared_events.active_societies(data))
-    baselines = baselines_for_period(stats, 2026, 4)
+    baselines = baselines_for_period(stats, 2025, 1)
     rows = bundle.run_documents(
         data, stats, baselines, flags, counts, daily, rollups.history_counts(stats), PERIOD, items_per_part=5
-    ).where("file_month = 4").orderBy("part").collect()
+    ).where("file_month = 1").orderBy("part").collect()
     assert len(rows) == rows[0]["parts"] == 6
     docs = [json.loads(r["bundle_json"]) for r in rows]
-    assert sum(len(d["daily_summary"]) for d in docs) == 28 and sum(len(d["current_month_stats"]) for d in docs) == 4
+    assert sum(len(d["daily_summary"]) for d in docs) == 26 and sum(len(d["current_month_stats"]) for d in docs) == 5
     assert [d["methodology_version"] for d in docs] == ["screening-v1-safety"] + [None] * 5

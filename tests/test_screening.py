@@ -51,16 +51,16 @@ def test_fallback_to_all_year(records, baselines):
 
 
 def test_rules_and_thin_baselines(records, baselines):
-    rows = [{"serial_no": 1, "clr": 29.6}, {"serial_no": 2, "clr": 24.0}, {"serial_no": 3, "clr": 29.0}, {"serial_no": 4, "clr": 28.9},
-            {"serial_no": 5, "snf_pct": 9.05, "fat_pct": 4.8}, {"serial_no": 6, "qty": 130.0, "fat_pct": 4.6}]
+    rows = [{"serial_no": 1, "clr": 29.5}, {"serial_no": 2, "clr": 24.5}, {"serial_no": 3, "clr": 29.0}, {"serial_no": 4, "clr": 28.8},
+            {"serial_no": 5, "snf_pct": 9.06, "fat_pct": 4.25}, {"serial_no": 6, "qty": 84.0, "fat_pct": 4.0}]
     got = {r["serial_no"]: r for r in rules.score_records(records(rows), baselines([{}])).collect()}
     fired = {n: {k for k, c in RULES.items() if r[c]} for n, r in got.items()}
-    # clr 29.0 is exactly 2 deviations up: R5 needs more than 2; 24.0 is far down: R7.
+    # clr 29.0 is exactly 2 deviations up: R5 needs more than 2; 24.5 is far down: R7.
     assert fired == {1: {"R5"}, 2: {"R7"}, 3: set(), 4: set(), 5: {"R4"}, 6: {"R6"}}
     classified = rules.diagnose(rules.suppress_thin(rules.score_records(records(rows), baselines([{}])))).collect()
     assert {r["serial_no"]: r["case"] for r in classified} == {1: "S5", 2: "S7", 3: "S0", 4: "S0", 5: "S4", 6: "S6"}
     few = baselines([{"record_count": 20}])
-    kept = {r["serial_no"] for r in rules.apply_rules(records([*rows, {"serial_no": 7, "clr": 29.7}, {"serial_no": 8, "clr": 29.8}]), few).collect()}
+    kept = {r["serial_no"] for r in rules.apply_rules(records([*rows, {"serial_no": 7, "clr": 29.45}, {"serial_no": 8, "clr": 29.7}]), few).collect()}
     assert kept == {2, 8}  # only |z| > 3.5 of snf, fat or clr
 
 
@@ -185,4 +185,4 @@ def test_keyed_merge_treats_nulls_as_equal(spark):
 def test_batches_hold_one_month(records):
     with pytest.raises(ValueError, match="same month"):
         merge.single_period(records([{"file_month": 4}, {"file_month": 5}]))
-    assert merge.single_period(records([{}, {}])) == (2025, 4)
+    assert merge.single_period(records([{}, {}])) == (2025, 6)

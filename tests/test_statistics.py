@@ -199,7 +199,7 @@ def test_eligibility_with_three_summer_months(records):
     rows = [{"file_month": m, "serial_no": i} for m, n in [(4, 10), (5, 12), (6, 14)] for i in range(n)]
     r = bl.baselines_for_period(month_stats(records(rows)), 2025, 7).where("season = 'summer'").first()
     assert (r["prior_month_count"], r["same_season_prior_month_count"], r["eligible"], r["record_count"]) == (3, 3, 1, 36)
-    assert r["snf_pct_std"] == 0.0 and r["snf_pct_mean"] == 8.6
+    assert r["snf_pct_std"] == 0.0 and r["snf_pct_mean"] == 8.75
 
 
 @pytest.mark.parametrize("digits", [1, 2])
