@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from curdline.functions.expressions import any_of, finite, season_of, trimmed
 from curdline.schema import CONTRACT_VERSION, FOOTER_LABELS, NUMERIC_COLUMNS, RECORD, REPORT_COLUMNS
+from curdline.sources.reports import month_number
 
 # Letters that Spark's cast accepts in a number and a report does not: 1.0d, 1.0f, 0x1p3, inf.
 _NOT_IN_NUMBERS = "[dDfFxXpP]"
 _TIME = r"(?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*$"
 _LOOKS_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}(\s|$)"
 _ISO_DATE = r"^\s*(\d{4}-\d{1,2}-\d{1,2})" + _TIME
-# Day-first readings of one date, tried in this order; month first only where day first is impossible.
-_DATE_PATTERNS = [
-    "d-M-yyyy", "M-d-yyyy", "d-M-yy", "M-d-yy", "d-MMM-yyyy", "d-MMMM-yyyy", "d-MMM-yy", "MMM-d-yyyy",
-    "MMMM-d-yyyy", "yyyy-d-M", "yyyy-M-d", "yyyy-MMM-d",
-]
+# First year of the century that two digits stand for: 69 to 99 are 1969 to 1999.
+_LAST_CENTURY = "69"
 _SHIFTS = {"M": "M", "MORNING": "M", "E": "E", "EVENING": "E"}
 _FILE_COLUMNS = ["source_file", "facility", "file_year", "file_month", "schema_layout", "schema_fingerprint"]
 
@@ -34,11 +32,36 @@ def date_text(text: Column) -> Column:
     ).otherwise(F.regexp_replace(other, "^-", ""))
 
 
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day)
+
+
 def parsed_date(text: Column) -> Column:
-    """Date from ``date_text``."""
-    mixed = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in _DATE_PATTERNS])
-    iso = F.try_to_timestamp(F.substring(text, 5, 10), F.lit("yyyy-M-d"))
-    return F.when(text.startswith("iso "), iso).otherwise(mixed).cast("date")
+    """Date from ``date_text``: day first, month first only where day first is impossible.
+
+    The three parts are put in order as ISO text and cast, which is cheap and raises nothing for impossible dates.
+    """
+    parts = F.split(text, "-")
+    a, b, c = (F.get(parts, i) for i in range(3))
+
+    def day(part: Column) -> Column:
+        return F.when(part.rlike(r"^\d{1,2}$"), part)
+
+    def month(part: Column) -> Column:
+        return F.coalesce(day(part), month_number(part).cast("string"))
+
+    def year(part: Column) -> Column:
+        century = F.when(part >= _LAST_CENTURY, "19").otherwise("20")
+        return F.when(part.rlike(r"^\d{4}$"), part).when(part.rlike(r"^\d{2}$"), F.concat(century, part))
+
+    readings = [(c, b, a), (c, a, b)]
+    year_first = [(a, c, b), (a, b, c)]
+    mixed = F.coalesce(
+        *[_iso(year(y), month(m), day(d)).try_cast("date") for y, m, d in readings],
+        *[F.when(F.length(y) == 4, _iso(year(y), month(m), day(d))).try_cast("date") for y, m, d in year_first],
+    )
+    iso = F.substring(text, 5, 10).try_cast("date")
+    return F.when(text.startswith("iso "), iso).when(F.size(parts) == 3, mixed)
 
 
 def canonical_shift(text: Column) -> Column:
@@ -103,9 +126,14 @@ def rejection_counts(validated: DataFrame) -> DataFrame:
     )
 
 
-def validation_report(raw: DataFrame, validated: DataFrame) -> DataFrame:
-    """One row per file: rows seen, data rows, accepted, rejected, counts per reason."""
+def validation_report(raw: DataFrame, validated: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per file: rows seen, data rows, accepted, rejected, counts per reason.
+
+    ``files`` is the catalogue; with it, files of unknown layout or without rows are listed too, with counts of 0.
+    """
     seen = raw.groupBy(*_FILE_COLUMNS).agg(F.count(F.lit(1)).alias("rows_seen"))
+    if files is not None:
+        seen = files.select(*_FILE_COLUMNS).join(seen.select("source_file", "rows_seen"), "source_file", "left")
     bad = F.col("rejection_reason") != ""
     checked = validated.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("data_rows_seen"), F.count_if(~bad).alias("accepted_rows"),
@@ -119,7 +147,7 @@ def validation_report(raw: DataFrame, validated: DataFrame) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("rejection_reason", "rows")))).alias("rejection_counts")
     )
     joined = seen.join(checked, "source_file", "left").join(reasons, "source_file", "left")
-    counts = ["data_rows_seen", "accepted_rows", "rejected_rows", "rows_outside_period"]
+    counts = ["rows_seen", "data_rows_seen", "accepted_rows", "rejected_rows", "rows_outside_period"]
     return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts}).withColumn(
         "contract_version", F.lit(CONTRACT_VERSION)
     )

@@ -10,23 +10,24 @@ from curdline.sources import reports
 
 
 def inspect(spark: SparkSession, source_dir: str, glob: str = "*.csv") -> DataFrame:
-    """One row of diagnostics per file; reading stops at no bad row."""
+    """One row of diagnostics per file that names a period; reading stops at no bad row or unknown layout."""
     raw = reports.scan_csv_reports(spark, source_dir, glob)
-    return validation.validation_report(raw, validation.validate(raw))
+    files = reports.report_files(spark, source_dir, glob).where("facility IS NOT NULL")
+    return validation.validation_report(raw, validation.validate(raw), files)
 
 
 def load_records(spark: SparkSession, source_dir: str, glob: str = "*.csv", skip_bad_files: bool = False) -> DataFrame:
     """Records of all report files.
 
-    By default one rejected row fails the load, as does a file of unknown layout. With ``skip_bad_files``
+    By default one rejected row fails the load, as does a file of unknown layout or without data. With ``skip_bad_files``
     such files are left out instead.
     """
     raw = reports.scan_csv_reports(spark, source_dir, glob)
     validated = validation.validate(raw)
-    report = validation.validation_report(raw, validated)
+    files = reports.report_files(spark, source_dir, glob).where("facility IS NOT NULL")
+    report = validation.validation_report(raw, validated, files)
     if skip_bad_files:
         return validation.only_clean_files(validation.accepted(validated), report)
-    files = reports.report_files(spark, source_dir, glob).where("facility IS NOT NULL")
     if files.limit(1).isEmpty():
         raise FileNotFoundError(f"No readable report files found in {source_dir}")
     unknown = files.where(F.col("schema_layout").isNull()).limit(5).collect()
@@ -35,6 +36,6 @@ def load_records(spark: SparkSession, source_dir: str, glob: str = "*.csv", skip
         raise ValueError(f"Unsupported report layout: {named}")
     failures = validation.strict_failures(report).limit(5).collect()
     if failures:
-        named = "; ".join(f"{r['source_file']}: {r['rejected_rows']} rejected data row(s)" for r in failures)
+        named = "; ".join(f"{r['source_file']}: {r['rejected_rows']} rejected data row(s) of {r['data_rows_seen']}" for r in failures)
         raise ValueError(f"Reports need correction before loading: {named}")
     return validation.accepted(validated)
