@@ -1,9 +1,10 @@
-"""Token ids of texts by the tokenizers library, each distinct piece of text being encoded once."""
+"""Token ids of texts by the tokenizers library, each distinct chunk of text being encoded once."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -11,59 +12,115 @@ import pyarrow as pa
 
 #: Ends every document.
 END_ID = 2
-#: Pieces a worker remembers; when there are more it forgets all and goes on, so this bounds memory, not results.
+#: Chunks a worker remembers; when there are more it forgets all and goes on, so this bounds memory, not results.
 KNOWN_PIECES = 1_000_000
 
-# Printable ASCII and the letters of Latin alphabets: no white space by any library's definition.
-_VISIBLE = "!-~¡-¬®-ɏ"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-# Places where byte-level BPE always splits: before a single space between two visible characters, around a single
-# line break between two such, and between a letter and a mark that follows it. No merge crosses them, so pieces
-# can be encoded on their own.
-_SPLIT = re.compile(
-    rf"(?<=[{_VISIBLE}])(?= [{_VISIBLE}])|(?<=[{_VISIBLE}])(?=\n[{_VISIBLE}])|(?<=[{_VISIBLE}]\n)(?=[{_VISIBLE}])"
-    rf"|(?<=[{_LETTER}])(?=[.,])"
-).split
-_COMMON = frozenset(c for c in map(chr, range(0x250)) if re.match(rf"[{_VISIBLE} \n]", c))
-_MARK_ALONE = re.compile(rf"[^{_LETTER}][.,]").search
-
-
-def pieces_of(text: str) -> list[str]:
-    """The text cut at such places. Most texts have no odd spacing; these are cut without a regular expression."""
-    odd = (
-        not _COMMON.issuperset(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-        or text[:1] in " \n" or text[-1] in " \n" or _MARK_ALONE(text) or text[0] in ".,"
+# Byte-level BPE first cuts a text into words, numbers, marks and white space; a single space belongs to what follows
+# it. So some places are always cut, and what lies between them can be encoded on its own: around a line break that
+# stands between visible characters, before a space unless white space is on both of its sides, and between a letter
+# and a mark at the end of a chunk.
+_CUTS = re.compile(r"(?<=\S)(?= )|(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)").split
+_RARE_SPACE = re.compile(r"[^\S \n]").search
+_SPACE = re.compile(r"\s").search
+#: Chunks that go to the library as one text.
+_TOGETHER = 100
+
+
+def _plainly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between visible characters."""
+    return not (
+        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+        or _RARE_SPACE(text)
     )
-    if odd:
-        return _SPLIT(text)
-    marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,")
-    return marked.split("\0")
+
+
+def _ends_in_mark(chunk: str) -> bool:
+    return chunk[-1] in ".," and chunk[-2:-1].isalpha() and chunk[-2] < "\u0250"
 
 
 class Encoder:
-    """Encodes whole texts; the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Encodes whole texts; the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    A text that holds the string of an added token, as ``<|endoftext|>``, is encoded whole, as the library gives such
+    a string its own id. Other texts are cut into chunks, whose ids are remembered: a word with the space before it,
+    under the word; the first word of a line with the line break before it, under both.
+    """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # other pieces, as they are
+        self.end = np.array([END_ID], "<u4").tobytes()
+        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.line_break = self._ids(["\n"])[0]
+        assert len(self.line_break) == 4
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Remember the ids of chunks without inner white space, many of which the library gets as lines of one text."""
+        known = self.known
+        new = set(chunks).difference(known)
+        ends = [c for c in new if _ends_in_mark(c)]
+        if ends:
+            new.difference_update(ends)
+            new.update({c[:-1] for c in ends}.difference(known))
+        listed = list(new)
+        groups = [listed[i : i + _TOGETHER] for i in range(0, len(listed), _TOGETHER)]
+        # every chunk begins with one line break: its own, or one before the space
+        texts = ["".join([c if c[0] == "\n" else "\n " + c for c in g]) for g in groups]
+        breaks = np.frombuffer(self.line_break, "<u4")[0]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            starts = 4 * np.flatnonzero(ids == breaks)
+            raw, stops = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
+            for c, a, b in zip(group, starts.tolist(), stops, strict=True):
+                known[c] = raw[a:b] if c[0] == "\n" else raw[a + 4 : b]
+        for c in ends:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
+
+    def _oddly_spaced(self, text: str) -> bytes:
+        pieces = [p for p in _CUTS(text) if p]
+        words = [p[1:] if p[0] == " " and len(p) > 1 and not _SPACE(p, 1) else None for p in pieces]
+        self._learn([w for w in words if w and w not in self.known])
+        others = list({p for p, w in zip(pieces, words, strict=True) if not w and p not in self.odd})
+        self.odd.update(zip(others, self._ids(others), strict=True))
+        known, odd = self.known, self.odd
+        return b"".join([known[w] if w else odd[p] for p, w in zip(pieces, words, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids with the end id, as little-endian unsigned 32-bit integers; null is an empty text."""
-        pieces = [pieces_of(t) if t else [] for t in texts]
-        new = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_PIECES:
+        if len(self.known) + len(self.odd) > KNOWN_PIECES:
             self.known.clear()
-            new = set().union(*pieces)
-        listed = list(new)
-        for piece, found in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(ids, p)) + end for p in pieces]
+            self.odd.clear()
+        get = self.known.get
+        out: list = []  # of a text its ids, or its chunks
+        missing: list[str] = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif any(a in text for a in self.added):
+                out.append(self._ids([text])[0])
+            elif _plainly_spaced(text):
+                chunks = ("\n" + text.replace("\n", " \n")).split(" ")
+                ids = list(map(get, chunks))
+                if None in ids:
+                    missing += [c for c, i in zip(chunks, ids, strict=True) if i is None]
+                    out.append(chunks)
+                else:
+                    out.append(b"".join(ids)[4:])
+            else:
+                out.append(self._oddly_spaced(text))
+        self._learn(missing)
+        get = self.known.__getitem__
+        # the first chunk's line break is not the text's
+        return [(x if isinstance(x, bytes) else b"".join(map(get, x))[4:]) + self.end for x in out]
 
 
 @lru_cache(maxsize=2)
