@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps; every step is a join-free aggregation."""
+"""Connected components by alternating large-star and small-star steps.
+
+Cases: repeated edges count once, an edge from a node to itself makes no component, no edges give no rows. Ties cannot
+arise, as nodes are told apart by number.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _starred(edges: DataFrame, small: bool) -> DataFrame:
     """Hang neighbours on the least one around: the greater ones of each node, or the lesser ones and itself."""
     near = edges if small else _both_ways(edges)  # a small step sees each node's lesser neighbours only (a > b)
-    least = near.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    # written first, so that the join does not share the aggregate's shuffle and Spark can split a hot node
+    least = materialized(near.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), "least")
     hung = near.join(least, "a")
     moved = hung.selectExpr("b AS a", "least AS b") if small else hung.filter("b > a").selectExpr("b AS a", "least AS b")
     if small:

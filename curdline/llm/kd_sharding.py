@@ -7,8 +7,10 @@ as the leaves there are to hold. Leaves are the shards. All nodes of a level are
 The medians are distributed: a split looks for its place in a histogram of ``BUCKETS`` equal intervals of the node's
 range, whose sums of bytes Spark aggregates, then in the interval that holds it, until that holds less than
 ``TOLERANCE`` of a shard or a single key. The driver sees only those sums, at most shards x BUCKETS numbers, and
-keeps the tree, one split for each shard but one. Keys end in bits of a hash of the document, so that any number of
-rows with equal metadata (one source, one text) can be split.
+keeps the tree, one split for each shard but one. Keys end in bits of a hash of the text, then of the document, so
+rows with equal metadata can be split, however many they are. Equal texts with equal metadata stay side by side: they
+share a shard unless a split falls among them, and one text held by more rows than a shard takes is spread over
+neighbouring shards. Languages and sources are placed by hashes, so any script will do.
 
 Only DataFrame and SQL functions are used. Texts are read once, for their sizes; the splits work on a narrow table.
 
@@ -55,10 +57,14 @@ def metadata(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
     )
-    tie = F.expr(f"shiftrightunsigned(xxhash64(doc_id, text_crc32), {64 - _TIE_BITS})")
+    half = _TIE_BITS // 2
+    tie = F.expr(
+        f"shiftleft(shiftrightunsigned(xxhash64(text_crc32, size), {64 - half}), {half})"
+        f" + shiftrightunsigned(xxhash64(doc_id), {64 - half})"
+    )
     coordinates = {
         "by_length": F.expr("CAST(floor(log2(size) * 1048576) AS BIGINT)"),
-        "by_lang": F.expr("coalesce(CAST(conv(hex(left(concat(lang, '\\0\\0\\0\\0'), 4)), 16, 10) AS BIGINT) + 1, 0)"),
+        "by_lang": F.expr("IF(lang IS NULL, 0L, shiftrightunsigned(xxhash64(lang), 32) + 1)"),
         "by_source": F.expr("IF(source IS NULL, 0L, shiftrightunsigned(xxhash64(source), 32) + 1)"),
     }
     keys = [(F.least(c, F.lit((1 << 38) - 1)) * (1 << _TIE_BITS) + tie).alias(d) for d, c in coordinates.items()]

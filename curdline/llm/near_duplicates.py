@@ -197,11 +197,13 @@ def labelled(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept: of each class the one with the smallest doc_id, once."""
-    judged = classes(documents).filter("doc_id = class_id").distinct().toDF("_kept_doc_id", "_kept_copy", "_class")
-    copy = F.xxhash64("text")
-    kept = documents.join(
-        judged, (F.col("doc_id").cast("bigint") == F.col("_kept_doc_id")) & (copy == F.col("_kept_copy"))
+    judged = classes(documents).filter("doc_id = class_id").distinct()
+    # whole rows travel as one struct, so no column of theirs can clash with ours
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").isNull().alias("no_text"),
     )
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_class").orderBy("_kept_copy")))
-    once = once.filter("_n = 1").select(*documents.columns)
-    return once.union(documents.filter("doc_id IS NULL OR text IS NULL"))
+    kept = rows.join(judged, ["doc_id", "copy"])
+    first = Window.partitionBy("class_id").orderBy("copy")
+    once = kept.withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")
+    return once.union(rows.filter("doc_id IS NULL OR no_text").select("row.*"))

@@ -117,7 +117,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         .filter("low < high").select("seed"), "shared_seeds"
     )
     met = materialized(paths.join(shared, "seed", "left_semi"), "met_paths")
-    kinds = met.groupBy("seed", "path").agg(F.min("doc_id").alias("source"))
+    kinds = materialized(met.groupBy("seed", "path").agg(F.min("doc_id").alias("source")), "kinds")
     branching = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
     sources = materialized(kinds.join(branching.withColumn("open", F.lit(True)), "seed", "left"), "sources")
     placed = materialized(met.join(sources, ["seed", "path"]), "placed_paths")
@@ -150,18 +150,28 @@ def _kept_mask(n_words: int, cuts: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(depth[:-1]) == 0
 
 
-def _texts_with_cuts(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes] | None, list | None]]:
-    for text, cuts in zip(batch.column("text"), batch.column("_cuts"), strict=True):
+def _texts_with_cuts(batch: pa.RecordBatch, cuts_name: str) -> Iterator[tuple[list[bytes] | None, list | None]]:
+    for text, cuts in zip(batch.column("text"), batch.column(cuts_name), strict=True):
         words = text.as_py().encode().split() if text.is_valid else None
         yield words, [(c["at"], c["edges"]) for c in cuts.as_py()] if cuts.is_valid else None
 
 
-def _with_cuts(documents: DataFrame) -> DataFrame:
-    """Whole rows beside their cuts; rows without any join too, null ids included."""
-    return documents.join(
-        repeated_spans(documents).toDF("_cut_doc_id", "_cut_copy", "_cuts"),
-        (F.col("doc_id").cast("bigint") == F.col("_cut_doc_id")) & (F.xxhash64("text") == F.col("_cut_copy")), "left",
-    ).drop("_cut_doc_id", "_cut_copy")
+def _free(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that no column has (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_cuts(documents: DataFrame, cuts: str) -> DataFrame:
+    """Whole rows beside their cuts, a column of that name; rows without any join too, null ids included."""
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"),
+    )
+    found = repeated_spans(documents).withColumnRenamed("cuts", cuts)
+    return rows.join(found, ["doc_id", "copy"], "left").select("row.*", cuts)
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -170,7 +180,7 @@ def digests(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             counts, removed, hashes = [], [], []
-            for words, cuts in _texts_with_cuts(batch):
+            for words, cuts in _texts_with_cuts(batch, "cuts"):
                 words = words or []
                 kept = words
                 if cuts:
@@ -184,7 +194,7 @@ def digests(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = _with_cuts(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = _with_cuts(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "cuts")
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -195,23 +205,24 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     document of which nothing is left goes, as it adds nothing to the corpus.
     """
     columns = documents.columns
+    cuts_name = _free("cuts", columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             texts = []
-            for text, (words, cuts) in zip(batch.column("text"), _texts_with_cuts(batch), strict=True):
+            for text, (words, cuts) in zip(batch.column("text"), _texts_with_cuts(batch, cuts_name), strict=True):
                 if cuts:
                     mask = _kept_mask(len(words), cuts).tolist()
                     texts.append(b" ".join(w for w, k in zip(words, mask, strict=True) if k).decode())
                 else:
                     texts.append(text.as_py())
             place = batch.schema.get_field_index("text")
-            keep = pa.array([not c.is_valid or bool(t) for t, c in zip(texts, batch.column("_cuts"), strict=True)])
+            keep = pa.array([not c.is_valid or bool(t) for t, c in zip(texts, batch.column(cuts_name), strict=True)])
             batch = batch.set_column(place, "text", pa.array(texts, pa.string())).select(columns)
             yield batch.filter(keep).cast(schema)
 
     schema = to_arrow_schema(documents.schema)
-    cut = _with_cuts(documents).mapInArrow(run, documents.schema)
+    cut = _with_cuts(documents, cuts_name).mapInArrow(run, documents.schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return cut

@@ -52,6 +52,21 @@ def test_few_odd_rows(spark, rows):
     checked(rows, op.sharded(nulls).collect(), 40, 100)
 
 
+def test_any_script_and_equal_texts(spark):
+    """Languages of any script are placed; equal texts with equal metadata share a shard unless a split falls among them."""
+    rows = [(i, prose(i // 3, 20)) for i in range(600)]
+    given = docs(spark, rows).selectExpr("doc_id", "text", "element_at(array('中文', 'éééé', '', 'zz'), CAST(doc_id DIV 3 % 4 AS INT) + 1) AS lang",
+                                         "'one' AS source")
+    out = op.sharded(given, 8).collect()
+    checked(rows, out, 8, 3 * 120)
+    shards = defaultdict(set)
+    for r in out:
+        shards[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 7  # one for each split at most
+    copies = [(i, "the same text") for i in range(400)]
+    checked(copies, op.sharded(docs(spark, copies), 8).collect(), 8, 2 * 29)
+
+
 def test_query_is_native(spark):
     plan = op2_kd_tree_shards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

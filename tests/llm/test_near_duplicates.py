@@ -118,7 +118,7 @@ def test_bag_keys_ignore_order():
 
 def test_components(spark):
     rng = random.Random(4)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(7, 8), (7, 8), (8, 7), (9, 9)] + [(i, i + 1) for i in range(1000, 1100)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     root = {x: x for e in edges for x in e}
 
@@ -133,6 +133,16 @@ def test_components(spark):
     assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_clashing_columns_are_kept(spark):
+    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (3, prose(2, 60)), (4, None)]
+    given = docs(spark, rows).selectExpr("*", "doc_id * 7 AS _n", "'c' AS _class", "5 AS _kept_doc_id", "6 AS copy", "7 AS `ROW`",
+                                         "8 AS class_id", "9 AS place", "10 AS `a b.c`")
+    out = op.deduplicated(given)
+    assert out.columns == given.columns
+    assert sorted((r.doc_id, r._n, r._class, r.copy, r.ROW, r.class_id, r["a b.c"]) for r in out.collect()) == [
+        (i, 7 * i, "c", 6, 7, 8, 10) for i in (1, 3, 4)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     assert op.labelled(empty).collect() == [] and op.deduplicated(empty).collect() == []

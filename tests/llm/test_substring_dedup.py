@@ -62,7 +62,7 @@ def test_equals_brute_force(spark):
 def test_texts_are_cut_and_columns_kept(spark):
     shared = prose(1, 60)
     rows = [(1, f"{shared} tail one"), (2, f"head two\n{shared} end"), (3, shared), (4, "short  one"), (5, None)]
-    given = docs(spark, rows).selectExpr("*", "1 as cuts", "'x' as _note", "2 as at", "3 as seed")
+    given = docs(spark, rows).selectExpr("*", "1 as CUTS", "9 as cuts_", "'x' as _cuts", "2 as at", "3 as row", "4 as copy")
     result = op.deduplicated(given)
     assert result.columns == given.columns
     kept = {r.doc_id: (r.text, r.n_chars) for r in result.collect()}
