@@ -470,27 +470,21 @@ def q_bundle(spark, sf_dir):
     ).select(*BUNDLE.names)
 
 
-try:
-    from curdline.llm import queries as corpus
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith("curdline.llm"):
-        raise
-    corpus = None
+# The corpus operators and the pipeline over them may be absent; whatever else fails to import is an error.
 try:
     import corpus_pipeline
+    from curdline.llm import queries as corpus
 except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline":
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("curdline.llm"):
         raise
-    corpus_pipeline = None
+    corpus = corpus_pipeline = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name[2:]: run for name, run in globals().items() if name.startswith("q_")}
-    dealt = corpus.queries() if corpus else {}
-    whole = {"pipeline": corpus_pipeline.run} if corpus and corpus_pipeline else {}
-    return own | dealt | whole
+    return own | (corpus.queries() | {"pipeline": corpus_pipeline.run} if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus and corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus and corpus_pipeline.ORACLE_SQL else {}
     return oracle.oracle_sql() | (corpus.oracle_sql() if corpus else {}) | whole

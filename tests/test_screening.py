@@ -98,14 +98,19 @@ def test_priority_adjustment(flags):
     assert got[3]["explanation"] == "Text. Note: screening priority capped because same-season history is thin."
 
 
-def test_shared_event_of_four_in_ten(records, flags):
-    everyone = records([{"dcs": float(d), "facility": "F", "date": day(1, 4, 2026), "file_year": 2026} for d in range(1, 11)])
-    moved = flags([{"dcs": float(d), "z_snf": -2.2, "z_fat": -1.4, "z_clr": -1.3} for d in (1, 2, 3, 4)]
-                  + [{"dcs": 5.0, "z_clr": 1.2}, {"dcs": 6.0}]).drop("seasonal_likely")
+def test_shared_event_share_is_of_active_producers(records, flags):
+    """Of eight producers three move down (an event), two up (none); one flag belongs to a shift without records."""
+    when = {"facility": "F", "file_year": 2026, "file_month": 4}
+    everyone = records([{**when, "dcs": float(d), "date": day(1, 4, 2026)} for d in range(21, 29)] * 2)
+    moved = flags(
+        [{"dcs": d, "z_snf": -1.75} for d in (21.0, 22.0)] + [{"dcs": 23.0, "z_fat": -1.25}]
+        + [{"dcs": d, "z_clr": 1.5} for d in (24.0, 25.0)] + [{"dcs": 26.0, "shift": "E", "z_clr": 1.5}]
+    ).drop("seasonal_likely")
     got = shared_events.mark_shared_events(moved, everyone).collect()
-    assert {(r["direction"], r["pct_flagged"], r["seasonal_likely"]) for r in got} == {("down", 40.0, 1), ("up", 10.0, 0), ("mixed", 10.0, 0)}
-    daily = shared_events.daily_summary(moved, shared_events.active_societies(everyone)).first()
-    assert (daily["num_flagged"], daily["pct_flagged"], daily["seasonal_event"]) == (6, 60.0, 1)
+    assert {(r["shift"], r["direction"], r["pct_flagged"], r["seasonal_likely"]) for r in got} == {
+        ("M", "down", 37.5, 1), ("M", "up", 25.0, 0), ("E", "up", None, 0)}
+    daily = shared_events.daily_summary(moved, shared_events.active_societies(everyone)).collect()
+    assert [(r["num_flagged"], r["pct_flagged"], r["seasonal_event"]) for r in daily] == [(5, 62.5, 1)]
 
 
 def test_daily_summary_keeps_quiet_shifts(records, flags):
