@@ -59,3 +59,62 @@ ids AS (SELECT r, doc_id, string_agg(id, ' ' ORDER BY i, j) AS sentences, string
 {", ".join(steps)}
 SELECT doc_id, sentences, coalesce(nullif(concat_ws(' ', {names}), ''), 'unknown') AS licences FROM {last}
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775807) AS id,
+  string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+repeated AS (SELECT key, max(id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3),
+j AS (SELECT k.*, coalesce(id < last, FALSE) AS gone FROM k LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r
+"""
+
+PHRASES = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS r, * FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, unnest([ws[i : i + k - 1] FOR k IN [1, 2, 3, 4] IF i + k - 1 <= len(ws)]) AS p FROM starts),
+f AS (SELECT lang, p, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+s AS (SELECT c.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : len(c.p)]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM s),
+inner_ AS (SELECT lang, p[i : i + m - 1] AS p, max(a) AS longer FROM (
+  SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i FROM (
+    SELECT lang, p, f AS a, unnest(range(2, len(p))) AS m FROM f WHERE len(p) > 2)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, p) WHERE place = 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, FALSE)),
+ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score,
+  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SOURCES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+x AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+p AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows_ AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curdline.llm import chat, decontamination, kd_sharding, licenses, near_duplicates, oracle, orc_tokens, packing, spot_signatures, substring_dedup, toxicity
+from curdline.llm import (
+    chat,
+    collocations,
+    decontamination,
+    kd_sharding,
+    licenses,
+    line_dedup,
+    near_duplicates,
+    oracle,
+    orc_tokens,
+    packing,
+    source_audit,
+    spot_signatures,
+    substring_dedup,
+    toxicity,
+)
 from curdline.llm.tokens import tokenizer_spec
 from curdline.sources.tables import shared_folder
 
@@ -70,9 +85,25 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.checksums(orc_tokens.read(spark, path))
 
 
+def op11_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audited(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_sentences": oracle.licences_sql(), "op5_prefix_target_chat": oracle.CHAT}
+    return {
+        "op4_licence_sentences": oracle.licences_sql(), "op5_prefix_target_chat": oracle.CHAT,
+        "op11_levelled_line_runs": oracle.LINES, "op12_trie_collocations": oracle.PHRASES,
+        "op13_source_divergence_cube": oracle.SOURCES,
+    }
