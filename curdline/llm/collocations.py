@@ -115,7 +115,7 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bit = ids.astype(np.uint64) & np.uint64(FILTER_BITS - 1)
+    bit = ids.astype(np.uint64) & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -128,7 +128,7 @@ class _Known(dict):
 
     def __missing__(self, word: bytes) -> int:
         number = word_id(word, self.lang, self.seed)
-        bit = number & (FILTER_BITS - 1)
+        bit = number & (8 * len(self.bitmap) - 1)
         self[word] = number = number if self.bitmap[bit >> 3] >> (bit & 7) & 1 else 0
         return number
 
@@ -154,12 +154,12 @@ def id_arrays(documents: DataFrame, frequent: DataFrame, seed: int) -> DataFrame
     return _texts(documents).mapInArrow(run, "ids array<bigint>")
 
 
-def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The ids of whole texts, one after the other, in arrays of SLAB positions or a little more."""
+def _slabs(batches: Iterator[pa.RecordBatch], slab: int) -> Iterator[np.ndarray]:
+    """The ids of whole texts, one after the other, in arrays of ``slab`` positions or a little more."""
     held: list[np.ndarray] = []
     for batch in batches:
         held.append(pc.list_flatten(batch.column("ids")).to_numpy())
-        if sum(map(len, held)) >= SLAB:
+        if sum(map(len, held)) >= slab:
             yield np.concatenate(held)
             held = []
     if held:
@@ -185,12 +185,12 @@ def _phrase_hashes(ids: np.ndarray, k: int, shorter: np.ndarray | None) -> tuple
 
 def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int = PART) -> DataFrame:
     """(w1 .. wk, h, part): every phrase of k words that can occur min_count times."""
-    spark = texts.sparkSession
+    spark, slab = texts.sparkSession, SLAB
     shipped = spark.sparkContext.broadcast(shorter)
     words = [f"w{i}" for i in range(1, k + 1)]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _slabs(batches):
+        for ids in _slabs(batches, slab):
             hashes, counts = np.unique(_phrase_hashes(ids, k, shipped.value)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], names=["h", "n"])
 
@@ -201,7 +201,7 @@ def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count:
     wanted = spark.sparkContext.broadcast(_bitmap(heavy, "h"))
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _slabs(batches):
+        for ids in _slabs(batches, slab):
             at, hashes = _phrase_hashes(ids, k, shipped.value)
             hit = _has(wanted.value, hashes)
             at, hashes = at[hit], hashes[hit]
@@ -219,7 +219,7 @@ def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count:
 
 def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """The candidates with their number of occurrences ``n``, counted part by part with a broadcast trie."""
-    spark = texts.sparkSession
+    spark, slab = texts.sparkSession, SLAB
     words = [f"w{i}" for i in range(1, k + 1)]
     order = Window.partitionBy("part").orderBy(*words)
     numbered = materialized(found.withColumn("number", F.row_number().over(order) - 1), f"numbered_{k}")
@@ -232,7 +232,7 @@ def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
         def shard(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shipped.value.sequences, np.int64)
-            for ids in _slabs(batches):
+            for ids in _slabs(batches, slab):
                 total += shipped.value.counts(ids)
             number = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(total[number])], names=["number", "n"])

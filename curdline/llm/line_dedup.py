@@ -4,12 +4,12 @@ A document's line is known by its key: the line without ASCII white space at bot
 least ``MIN_CHARS`` code points enter the store as a 128-bit hash, with the number of documents that hold the key and
 the largest doc_id among them (:class:`LineRuns`).
 
-Documents come in batches. A batch's keys are aggregated, split by a merge join with the stored runs into keys that
-no run holds (anti-join) and keys that are held already, and written as one new run of level 0: running totals, so
-the newest entry of a key stands for all older ones. ``FANOUT`` runs of a level are compacted into one of the next
-level, so there are at most FANOUT times the logarithm of the number of batches. Runs are tables bucketed and sorted by
-hash: neither the joins nor the compaction shuffle them, only the batch is shuffled. A run is whole before the
-manifest names it; a store opened again has what the manifest names (:meth:`LineRuns.opened`).
+Documents come in batches. A batch's keys are aggregated, merge-anti-joined with the stored runs, which leaves the keys
+that no run holds, and merge-joined with them for the totals of the others; both are written as one new run of level
+0: running totals, so the newest entry of a key stands for all older ones. ``FANOUT`` runs of a level are compacted
+into one of the next level, so there are at most FANOUT times the logarithm of the number of batches. Runs are tables
+bucketed and sorted by hash: joins with them shuffle the batch alone. A run is whole before the manifest names it; a
+store opened again has what the manifest names (:meth:`LineRuns.opened`).
 
 When all batches are in, every batch is merge-anti-joined with the runs once more: a line stays unless its key is
 held by ``MIN_DOCUMENTS`` documents and a larger doc_id (:func:`judged`). A key that a large share of all documents
@@ -117,9 +117,9 @@ class LineRuns:
         return store
 
     def _write(self, rows: DataFrame) -> str:
+        """Rows that are already dealt to the buckets, as one file each."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, *KEY)  # one file for each bucket
-        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def _commit(self, runs: list[tuple[int, str]]) -> None:
@@ -128,41 +128,47 @@ class LineRuns:
         row.coalesce(1).write.mode("append").json(f"{self.path}/manifests")
         self.runs, self.version = runs, self.version + 1
 
-    def _union(self, runs: list[tuple[int, str]]) -> DataFrame:
+    def _merged(self, runs: list[tuple[int, str]]) -> DataFrame:
         """The newest entry of every key: it has the largest count, as totals only grow."""
-        if not runs:
-            return self.spark.createDataFrame([], _RUN)
-        rows = None
+        rows = self.spark.createDataFrame([], _RUN)
         for _, name in runs:
-            table = self.spark.table(name)
-            rows = table if rows is None else rows.union(table)
-        return rows if len(runs) == 1 else rows.groupBy(*KEY).agg(F.max("docs").alias("docs"), F.max("last").alias("last"))
+            rows = rows.union(self.spark.table(name))
+        dealt = rows.repartition(self.buckets, *KEY)
+        return dealt.groupBy(*KEY).agg(F.max("docs").alias("docs"), F.max("last").alias("last"))
 
     def entries(self) -> DataFrame:
         """(h, g, docs, last) of every key."""
-        return self._union(self.runs)
+        return self._merged(self.runs)
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key (h, g) no run holds: one merge-anti-join for each run, which shuffles ``keys`` once."""
+        for _, name in self.runs:
+            keys = keys.join(self.spark.table(name).hint("merge"), KEY, "left_anti")
+        return keys
+
+    def totals(self, own: DataFrame) -> DataFrame:
+        """The entries of a batch (h, g, docs, last) with what the runs hold of their keys added."""
+        docs, last = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+        rows = own
+        for i, (_, name) in enumerate(self.runs):
+            rows = rows.join(self.spark.table(name).toDF(*KEY, f"docs_{i}", f"last_{i}").hint("merge"), KEY, "left")
+            docs, last = F.greatest(docs, f"docs_{i}"), F.greatest(last, f"last_{i}")  # null where no run holds it
+        return rows.select(*KEY, (F.col("docs") + docs).alias("docs"), F.greatest("last", last).alias("last"))
 
     def add(self, pairs: DataFrame) -> None:
-        """Merge a batch of distinct documents' (doc_id, h, g) into the store as a new run."""
-        own = pairs.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(
-            F.count("*").alias("docs"), F.max("doc_id").alias("last")
+        """Merge the (doc_id, h, g) of a batch of documents into the store as a new run."""
+        own = materialized(
+            pairs.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one")).groupBy(*KEY)
+            .agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "batch_keys"
         )
-        runs = self.runs
-        if runs:
-            own = materialized(own.repartition(self.buckets, *KEY), "batch_keys")
-            held = self.entries()
-            fresh = own.join(held, KEY, "left_anti")
-            known = own.join(held.toDF(*KEY, "old_docs", "old_last"), KEY).select(
-                *KEY, (F.col("docs") + F.col("old_docs")).alias("docs"), F.greatest("last", "old_last").alias("last")
-            )
-            own = fresh.union(known)
-        runs = [*runs, (0, self._write(own))]
+        dealt = own.repartition(self.buckets, *KEY)
+        runs = [*self.runs, (0, self._write(self.totals(dealt)))]
         while True:  # compaction: a full level becomes one run of the next
             level = runs[-1][0]
             full = [r for r in runs if r[0] == level]
             if len(full) < self.fanout:
                 break
-            runs = [*(r for r in runs if r[0] != level), (level + 1, self._write(self._union(full)))]
+            runs = [*(r for r in runs if r[0] != level), (level + 1, self._write(self._merged(full)))]
         self._commit(runs)
 
 

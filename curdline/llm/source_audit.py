@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,43 +49,47 @@ _TERMS = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+").findall
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(partial_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Partial counts of occurrences and documents by lang, source and term; '' stands for a document without terms."""
-    occurrences: dict[tuple[str, str], Counter] = {}
-    documents: dict[tuple[str, str], Counter] = {}
-
-    def partial() -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), counts in occurrences.items():
-            held = documents[lang, source]
-            columns[0] += [lang] * len(counts)
-            columns[1] += [source] * len(counts)
-            columns[2] += [t.decode() for t in counts]
-            columns[3] += counts.values()
-            columns[4] += [held[t] for t in counts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(columns)],
-            names=["lang", "source", "term", "n", "docs"],
-        )
-
-    for batch in sliced(batches, "text"):
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-            terms = _TERMS(text.lower()) or [b""]  # bytes: A-Z only
-            occurrences.setdefault((lang, source), Counter()).update(terms)
-            documents.setdefault((lang, source), Counter()).update(set(terms))
-        if sum(map(len, occurrences.values())) > PARTIAL_ROWS:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occurrences: dict[tuple[str, str], Counter] = {}
+        documents: dict[tuple[str, str], Counter] = {}
+
+        def partial() -> pa.RecordBatch:
+            columns: list[list] = [[], [], [], [], []]
+            for (lang, source), counts in occurrences.items():
+                held = documents[lang, source]
+                columns[0] += [lang] * len(counts)
+                columns[1] += [source] * len(counts)
+                columns[2] += [t.decode() for t in counts]
+                columns[3] += counts.values()
+                columns[4] += [held[t] for t in counts]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(columns)],
+                names=["lang", "source", "term", "n", "docs"],
+            )
+
+        for batch in sliced(batches, "text"):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+                terms = _TERMS(text.lower()) or [b""]  # bytes: A-Z only
+                occurrences.setdefault((lang, source), Counter()).update(terms)
+                documents.setdefault((lang, source), Counter()).update(set(terms))
+            if sum(map(len, occurrences.values())) > partial_rows:
+                yield partial()
+                occurrences.clear()
+                documents.clear()
+        if occurrences:
             yield partial()
-            occurrences.clear()
-            documents.clear()
-    if occurrences:
-        yield partial()
+
+    return run
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs), and a row with an empty term for the documents without terms of a group."""
     texts = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    partial = in_small_batches(texts).mapInArrow(_counted, _COUNTS)
+    partial = in_small_batches(texts).mapInArrow(_counted(PARTIAL_ROWS), _COUNTS)
     return partial.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
