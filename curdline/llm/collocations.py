@@ -6,9 +6,10 @@
 2. *Ids.* Each text becomes an array of ids, 0 standing between pieces and for words that are too rare to be in any
    candidate. The arrays are written once; all later passes read only them.
 3. *Candidates* of length k, level by level. A phrase is a candidate if both its phrases of k-1 words are frequent, and
-   if the bucket of its hash holds ``MIN_COUNT`` occurrences of such phrases: both hold for every phrase with
-   MIN_COUNT occurrences, so no such phrase is missed. Frequent phrases are known by a bitmap of fixed size; a bit that
-   two phrases share only adds candidates.
+   if the bucket of its 64-bit hash holds ``MIN_COUNT`` occurrences of such phrases: both hold for every phrase with
+   MIN_COUNT occurrences. Frequent phrases are known by a bitmap of fixed size; a bit that two phrases share only adds
+   candidates. A bucket hands on one phrase; if the trie counts fewer occurrences of it than the bucket holds, another
+   phrase is in the bucket, and the level is done anew with other hashes. So no phrase is missed.
 4. *Counts.* Candidates are dealt to parts of about ``PART`` by hash. A part becomes a double-array trie
    (:mod:`curdline.llm.double_array`), some tens of megabytes whatever the corpus, and is broadcast. Each task walks its
    shard of the texts through the trie, all positions at once and level by level, counts the accepting states with one
@@ -57,7 +58,7 @@ KNOWN_WORDS = 500_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+").findall
-_FACTOR = np.uint64(0xD1342543DE82EF95)
+_FACTOR = 0xD1342543DE82EF95
 
 
 def word_id(word: bytes, lang: str, seed: int) -> int:
@@ -144,7 +145,9 @@ def id_arrays(documents: DataFrame, frequent: DataFrame, seed: int) -> DataFrame
             for lang, tokens in _tokens(iter([batch])):
                 if lang not in known:
                     known[lang] = _Known(lang, seed, shipped.value)
-                lists.append(np.array([0, *map(known[lang].__getitem__, tokens)], np.int64))
+                row = np.zeros(len(tokens) + 1, np.int64)
+                row[1:] = np.fromiter(map(known[lang].__getitem__, tokens), np.int64, len(tokens))
+                lists.append(row)
             ends = np.cumsum([0, *map(len, lists)])
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], names=["ids"])
@@ -166,55 +169,64 @@ def _slabs(batches: Iterator[pa.RecordBatch], slab: int) -> Iterator[np.ndarray]
         yield np.concatenate(held)
 
 
-def _phrase_hashes(ids: np.ndarray, k: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the phrases of k words both whose shorter phrases are frequent, by a bitmap of these, and their hashes."""
-    known = ids != 0
-    hashes, valid = ids.view(np.uint64), known
-    before, frequent = hashes, known
-    for j in range(1, k):
-        before, frequent = hashes, valid
-        hashes = mixed(hashes[:-1] * _FACTOR + ids[j:].view(np.uint64))
-        valid = valid[:-1] & known[j:]
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`curdline.llm.words.mixed`."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def _hashes(columns: list[np.ndarray], factor: int) -> np.ndarray:
+    """Of word sequences, given by their columns. Sequences that differ in the last word alone never share one."""
+    hashes = columns[0].view(np.uint64)
+    for c in columns[1:]:
+        hashes = mixed(hashes * np.uint64(factor) + c.view(np.uint64))
+    return hashes.view(np.int64)
+
+
+def _phrases(ids: np.ndarray, k: int, shorter: np.ndarray | None, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the phrases of k words both whose shorter phrases are frequent, by a bitmap of these."""
+    n = max(len(ids) - k + 1, 0)
+    valid = ids != 0
+    valid = np.all([valid[j : j + n] for j in range(k)], axis=0)
     at = np.flatnonzero(valid)
     if shorter is not None:
-        frequent = frequent.copy()
-        frequent[frequent] = _has(shorter, before[frequent] >> np.uint64(1))
-        at = at[frequent[at] & frequent[at + 1]]
-    return at, (hashes[at] >> np.uint64(1)).view(np.int64)
+        before = _has(shorter, _hashes([ids[at + j] for j in range(k - 1)], _FACTOR))
+        at = at[before]
+        at = at[_has(shorter, _hashes([ids[at + j] for j in range(1, k)], _FACTOR))]
+    return at, _hashes([ids[at + j] for j in range(k)], factor)
 
 
-def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int = PART) -> DataFrame:
-    """(w1 .. wk, h, part): every phrase of k words that can occur min_count times."""
+def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int, factor: int) -> DataFrame:
+    """(w1 .. wk, most, part): phrases of k words whose bucket holds ``most`` occurrences, min_count or more."""
     spark, slab = texts.sparkSession, SLAB
     shipped = spark.sparkContext.broadcast(shorter)
-    words = [f"w{i}" for i in range(1, k + 1)]
+    first = [f"w{i}" for i in range(1, k)]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _slabs(batches, slab):
-            hashes, counts = np.unique(_phrase_hashes(ids, k, shipped.value)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], names=["h", "n"])
-
-    heavy = materialized(
-        texts.mapInArrow(buckets, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_count).select("h"), f"heavy_{k}"
-    )
-    wanted = spark.sparkContext.broadcast(_bitmap(heavy, "h"))
+            at, hashes = _phrases(ids, k, shipped.value, factor)
+            hashes, example, counts = np.unique(hashes, return_index=True, return_counts=True)
+            words = [ids[at[example] + j] for j in range(k - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, counts, *words)], names=["h", "most", *first])
 
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _slabs(batches, slab):
-            at, hashes = _phrase_hashes(ids, k, shipped.value)
-            hit = _has(wanted.value, hashes)
-            at, hashes = at[hit], hashes[hit]
-            order = np.lexsort([*(ids[at + i] for i in range(k)), hashes])
-            columns = [*(ids[at + i][order] for i in range(k)), hashes[order]]
-            new = np.ones(len(at), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in columns], names=[*words, "h"])
-
-    found = texts.mapInArrow(phrases, ", ".join(f"{c} bigint" for c in [*words, "h"])).distinct()
-    kept = materialized(found.join(heavy, "h", "left_semi"), f"candidates_{k}")
+    def last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last word follows from the others and the hash."""
+        for batch in batches:
+            words = [batch.column(w).to_numpy() for w in first]
+            before = _hashes(words, factor).view(np.uint64) * np.uint64(factor)
+            last = _unmixed(batch.column("h").to_numpy().view(np.uint64)) - before
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*words, last.view(np.int64))] + [batch.column("most")], names=[*first, f"w{k}", "most"])
+
+    found = texts.mapInArrow(buckets, ", ".join(f"{c} bigint" for c in ["h", "most", *first]))
+    # nearly all rows of a task are distinct, so they are dealt first and added up once
+    heavy = found.repartition("h").groupBy("h").agg(F.sum("most").alias("most"), *[F.first(w).alias(w) for w in first])
+    heavy = heavy.where(F.col("most") >= min_count)
+    kept = materialized(heavy.mapInArrow(last_words, ", ".join(f"{c} bigint" for c in [*first, f"w{k}", "most"])), f"candidates_{k}")
     parts = max(-(-kept.count() // part), 1)
-    return kept.withColumn("part", F.expr(f"CAST(pmod(h, {parts}) AS INT)"))
+    return kept.withColumn("part", F.expr(f"CAST(pmod(xxhash64({', '.join(first)}, w{k}), {parts}) AS INT)"))
 
 
 def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -238,12 +250,23 @@ def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(total[number])], names=["number", "n"])
 
         sums = texts.mapInArrow(shard, "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
-        rows = materialized(own.join(sums, "number").select(*words, "h", "n"), f"counts_{k}")
+        rows = materialized(own.join(sums, "number").select(*words, "most", "n"), f"counts_{k}")
         shipped.unpersist()
         counted = rows if counted is None else counted.union(rows)
     return counted
 
 
+def _with_hash(phrases: DataFrame, k: int) -> DataFrame:
+    """(h): the hashes of phrases, by which later levels know them."""
+    words = [f"w{i}" for i in range(1, k + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes([batch.column(w).to_numpy() for w in words], _FACTOR))], names=["h"])
+
+    return phrases.select(*words).mapInArrow(run, "h bigint")
+
+
 def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """All words (lang, word, id, n), and all frequent words and phrases (words array<bigint>, f)."""
     seed = 0
@@ -261,9 +284,14 @@ def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, longest:
     found = frequent.select(F.array("id").alias("words"), F.col("n").alias("f"))
     shorter = None
     for k in range(2, longest + 1):
-        counted = trie_counts(texts, candidates(texts, k, shorter, min_count, part), k).where(F.col("n") >= min_count)
+        factor = _FACTOR
+        while True:
+            counted = trie_counts(texts, candidates(texts, k, shorter, min_count, part, factor), k)
+            if counted.where("n < most").isEmpty():
+                break
+            factor += 2  # odd, like the first
         found = found.union(counted.select(F.array(*[f"w{i}" for i in range(1, k + 1)]).alias("words"), F.col("n").alias("f")))
-        shorter = _bitmap(counted, "h")
+        shorter = _bitmap(_with_hash(counted, k), "h")
     return words, materialized(found, "frequent_phrases")
 
 

@@ -90,6 +90,25 @@ def test_shared_ids_are_made_anew(spark, monkeypatch):
     assert seen == [0, 1] and ours == brute_force(rows, 6, 30)
 
 
+def test_shared_buckets_are_made_anew(spark, monkeypatch):
+    """Hashes of which most phrases share one: a level whose buckets hold more than their phrase is repeated."""
+    real, factors = op.candidates, []
+
+    def sharing(texts, k, shorter, min_count, part, factor):
+        factors.append((k, factor))
+        return real(texts, k, shorter, min_count, part, 0 if k == 2 and len(factors) == 1 else factor)
+
+    monkeypatch.setattr(op, "candidates", sharing)
+    rows = corpus()[:80]
+    ours = sorted(map(tuple, op.collocations(frame(spark, rows), min_count=6, ranks=30).collect()))
+    assert [k for k, _ in factors] == [2, 2, 3, 4] and ours == brute_force(rows, 6, 30)
+
+
+def test_last_words_follow_from_hashes():
+    columns = [np.random.default_rng(i).integers(1, 1 << 62, 1000) for i in range(4)]
+    assert (op._unmixed(op.mixed(columns[0].view(np.uint64))) == columns[0].view(np.uint64)).all()
+
+
 def test_empty_table(spark):
     assert op.collocations(spark.createDataFrame([], DOCUMENTS)).collect() == []
 
