@@ -143,7 +143,32 @@ def q_replaced_periods(spark, sf_dir):
     periods = given.select(*PERIOD).distinct()
     tables.upsert(spark, path, given.where("dcs % 3 <> 0"), MONTH_KEYS, months=periods.select(*BATCH),
                   keep=lambda rows: rows.join(periods, PERIOD, "left_anti"))
-    return spark.read.schema(stats.schema).parquet(path).select(*MONTH_KEYS, "season", "society_name", "record_count")
+    return tables.read_table(spark, path, stats.schema).select(*MONTH_KEYS, "season", "society_name", "record_count")
+
+
+def q_committed_versions(spark, sf_dir):
+    """Both commits of a table after a third write was broken off before its switch: each reads whole."""
+    stats = derived(spark, sf_dir).stats
+    path = f"{tables.shared_folder(spark)}/curdline/{uuid.uuid4().hex}/versions"
+    first = tables.upsert(spark, path, stats, MONTH_KEYS)
+    second = tables.upsert(spark, path, stats.where("dcs % 5 = 0").withColumn("record_count", -F.col("record_count")), MONTH_KEYS)
+    table = tables.VersionedTable(spark, path, stats.schema)
+    table.write(stats.where("dcs % 2 = 0"))  # and no switch
+    return table.read(first).withColumn("version", F.lit("first")).union(
+        table.read(second).withColumn("version", F.lit("second"))
+    ).union(table.read().withColumn("version", F.lit("newest"))).groupBy("version", *PERIOD).agg(
+        F.count("*").alias("societies"), F.sum("record_count").alias("record_count"), F.count_if(F.col("record_count") < 0).alias("replaced")
+    )
+
+
+def q_audit_appended(spark, sf_dir):
+    """The audit of each year appended as a run of its own, one of them twice."""
+    audit = rollups.audit_trail(derived(spark, sf_dir).totals)
+    path = f"{tables.shared_folder(spark)}/curdline/{uuid.uuid4().hex}/audit_trail"
+    odd, even = (audit.where(F.col("file_year") % 2 == k) for k in (1, 0))
+    for run, rows in (("odd years", odd), ("even years", even), ("odd years", odd)):
+        tables.append_once(spark, path, rows, run)
+    return tables.read_table(spark, path, audit.schema)
 
 
 def q_baseline_snapshot(spark, sf_dir):
@@ -286,6 +311,13 @@ def q_history_count(spark, sf_dir):
     return rollups.history_counts(derived(spark, sf_dir).stats)
 
 
+def q_history_count_late(spark, sf_dir):
+    """March reports came late: they were computed in a second run."""
+    stats = derived(spark, sf_dir).stats
+    ledger = stats.select(*PERIOD).distinct().withColumn("sequence", F.when(F.col("file_month") == 3, 2).otherwise(1).cast("bigint"))
+    return rollups.history_counts(stats, ledger)
+
+
 def q_facility_overview(spark, sf_dir):
     return rollups.facility_overview(fixtures.records(spark, sf_dir))
 

@@ -169,30 +169,38 @@ def processing_metrics(records: DataFrame, totals: DataFrame, scope: list[str] =
     )
 
 
-def history_counts(stats: DataFrame) -> DataFrame:
-    """Rows of month statistics each run could read: those of all runs before it in (year, month, facility) order.
+def history_counts(stats: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Rows of month statistics each run could read: those of all runs before it.
 
-    A running total over months (a calendar's worth of rows) plus one over the facilities of a month.
+    ``ledger`` says in which run a period was computed (facility, file_year, file_month, sequence); a month that came
+    late was computed after later months. Within a run, and without a ledger, periods come in (year, month, facility)
+    order. A running total over the months of each run (a calendar's worth of rows) plus one over the facilities of
+    a month.
     """
-    per_run = stats.groupBy("file_year", "file_month", "facility").agg(F.count(F.lit(1)).alias("rows"))
-    per_month = per_run.groupBy("file_year", "file_month").agg(F.sum("rows").alias("rows"))
-    months = per_month.agg(F.collect_list(F.struct("file_year", "file_month", "rows")).alias("months")).select(
+    per_run = stats.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("rows"))
+    if ledger is None:
+        per_run = per_run.withColumn("sequence", F.lit(0).cast("bigint"))
+    else:
+        told = ledger.groupBy(*PERIOD).agg(F.max("sequence").alias("sequence"))
+        per_run = per_run.join(told, PERIOD, "left").withColumn("sequence", F.coalesce("sequence", F.lit(0).cast("bigint")))
+    when = ["sequence", "file_year", "file_month"]
+    per_month = per_run.groupBy(*when).agg(F.sum("rows").alias("rows"))
+
+    def place(m: Column) -> Column:
+        return F.struct(m["sequence"], month_index(m["file_year"], m["file_month"]))
+
+    months = per_month.agg(F.collect_list(F.struct(*when, "rows")).alias("months")).select(
         F.explode("months").alias("m"), "months"
     ).select(
-        "m.file_year", "m.file_month",
+        *[f"m.{c}" for c in when],
         F.aggregate(
-            F.filter("months", lambda x: month_index(x["file_year"], x["file_month"])
-                     < month_index(F.col("m.file_year"), F.col("m.file_month"))),
-            F.lit(0).cast("bigint"), lambda acc, x: acc + x["rows"],
+            F.filter("months", lambda x: place(x) < place(F.col("m"))), F.lit(0).cast("bigint"), lambda acc, x: acc + x["rows"],
         ).alias("before_month"),
     )
-    in_month = Window.partitionBy("file_year", "file_month").orderBy("facility")
+    in_month = Window.partitionBy(*when).orderBy("facility")
     earlier = F.sum("rows").over(in_month.rowsBetween(Window.unboundedPreceding, -1))
-    return per_run.withColumn("before_run", F.coalesce(earlier, F.lit(0).cast("bigint"))).join(
-        months, ["file_year", "file_month"]
-    ).select(
-        "facility", "file_year", "file_month",
-        (F.col("before_month") + F.col("before_run")).alias("historical_month_stats_count"),
+    return per_run.withColumn("before_run", F.coalesce(earlier, F.lit(0).cast("bigint"))).join(months, when).select(
+        *PERIOD, (F.col("before_month") + F.col("before_run")).alias("historical_month_stats_count"),
     )
 
 

@@ -276,6 +276,11 @@ r AS (SELECT * REPLACE (CASE WHEN (file_month + CAST(dcs AS BIGINT)) % 3 <> 0 TH
     q["baseline_months_without_values"] = (f"{gaps}\nSELECT {K}, season, record_count, {_r6(['clr_mean', 'clr_std', 'clr_median', 'clr_p90'])} FROM bl")
     q["replaced_periods"] = (f"WITH {R},\n{ST}\nSELECT {K}, season, society_name, record_count FROM st "
                              f"WHERE NOT (facility = 'FacilityA' AND file_year % 2 = 0 AND dcs % 3 = 0)")
+    q["committed_versions"] = f"""WITH {R},\n{ST},
+c AS (SELECT unnest(['first', 'second', 'newest']) AS version, {P}, dcs % 5 = 0 AS changed, record_count FROM st)
+SELECT version, {P}, count(*) AS societies,
+  CAST(sum(CASE WHEN changed AND version <> 'first' THEN -record_count ELSE record_count END) AS BIGINT) AS record_count,
+  count(*) FILTER (changed AND version <> 'first') AS replaced FROM c GROUP BY ALL"""
     q["baseline_snapshot"] = (f"{base}\nSELECT {K}, season, society_name, record_count, prior_month_count, "
                               f"same_season_prior_month_count, eligible FROM bl")
     q["eligible_baseline_rows"] = (f"{base}\nSELECT file_year, file_month, CAST(sum(eligible) AS BIGINT) AS "
@@ -326,6 +331,7 @@ FROM tot LEFT JOIN tm USING ({P}) LEFT JOIN ls USING ({P})"""
 SELECT {P}, metric, value, mode FROM (
   SELECT {P}, mode, unnest(['records_processed', 'societies_active', 'initial_flags', 'seasonal_suppressed', 'final_flags']) AS metric,
     unnest([records_processed, distinct_dcs, initial_flags, seasonal_suppressed, final_flags]) AS value FROM tot)"""
+    q["audit_appended"] = q["audit_metrics"]
     q["run_summary"] = (f"{_FULL},\n{_TOTALS}\nSELECT {P}, mode, records_processed, initial_flags, seasonal_suppressed, final_flags FROM tot")
     q["batch_summary"] = f"""{_FULL},
 br AS (SELECT file_year, file_month, count(*) AS records_processed, count(DISTINCT dcs) AS societies_active,
@@ -336,6 +342,7 @@ SELECT br.*, CASE WHEN coalesce(n, 0) > 0 THEN 'detection' ELSE 'seed_only' END
     q["history_count"] = f"""WITH {R}, n AS (SELECT {P}, count(DISTINCT dcs) AS c FROM r GROUP BY ALL)
 SELECT {P}, CAST(coalesce(sum(c) OVER (ORDER BY file_year, file_month, facility ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
   AS historical_month_stats_count FROM n"""
+    q["history_count_late"] = q["history_count"].replace("ORDER BY file_year", "ORDER BY file_month = 3, file_year")
     two = ", ".join(f"round_even(round(avg({m}), 9) * 100, 0) / 100 AS {a}" for m, a in [("fat_pct", "avg_fat"), ("snf_pct", "avg_snf"), ("clr", "avg_clr")])
     q["facility_overview"] = f"WITH {R}\nSELECT {P}, count(*) AS records, count(DISTINCT dcs) AS societies, {two} FROM r GROUP BY ALL"
     q["category_distribution"] = f"{_FULL}\nSELECT {P}, diagnosis, count(*) AS count FROM rep GROUP BY ALL"

@@ -93,7 +93,8 @@ def _run(
 ) -> DataFrame:
     """Write every derived table, bundles last.
 
-    A bundle marks its period as done. If the job dies earlier, the period is simply computed again. Whatever the
+    A bundle marks its period as done. If the job dies earlier, the period is simply computed again. The audit of every
+    run is also appended to a log, once, and a ledger keeps the order of the runs. Whatever the
     tables held of the run's periods is replaced, also rows that are not found again; only review cases are merged,
     as they carry human work. A batch replaces its month but for facilities that have documents of their own.
     """
@@ -139,7 +140,15 @@ def _run(
     save("audit_trail", audit, [*PERIOD, "metric"])
     save("review_cases", cases.review_cases(report), ["case_id"], preserve_existing=True)
 
-    history = _history_counts(known, scope)
+    # a run that is repeated after a failure finds the same newest documents, so it has the same name
+    done_version = tables.VersionedTable(spark, state.report_bundles, BUNDLE).state()[0]
+    periods = run_periods.agg(F.bit_xor(F.xxhash64(*PERIOD))).first()[0]
+    run = f"{done_version}:{periods}"
+    ledger = run_periods.withColumn("sequence", F.lit(done_version + 1).cast("bigint"))
+    tables.append_once(spark, state.run_ledger, ledger, run)
+    tables.append_once(spark, state.audit_log, audit.withColumn("run", F.lit(run)), run)
+
+    history = _history_counts(known, scope, tables.read_table(spark, state.run_ledger, ledger.schema))
     own_baselines = baselines.join(run_periods, PERIOD, "left_semi")
     documents = bundle.run_documents(
         records, stats, own_baselines, flags, counts, daily, history, scope, filename
@@ -148,14 +157,14 @@ def _run(
     return rollups.run_summary(audit)
 
 
-def _history_counts(known: DataFrame, scope: list[str]) -> DataFrame:
+def _history_counts(known: DataFrame, scope: list[str], ledger: DataFrame) -> DataFrame:
     """Month-statistics rows available to each run.
 
-    Within an incremental run the facilities of a month are numbered in name order; a batch sees all earlier
-    months.
+    The ledger tells in which run a period was computed. Within an incremental run the facilities of a month are
+    numbered in name order; a batch sees all earlier months.
     """
     if "facility" in scope:
-        return rollups.history_counts(known)
+        return rollups.history_counts(known, ledger)
     per_month = known.groupBy(*BATCH).agg(F.count(F.lit(1)).alias("rows"))
     later = per_month.select(F.struct(*BATCH, "rows").alias("m")).agg(F.collect_list("m").alias("months"))
     return later.select(F.explode("months").alias("m"), "months").select(
