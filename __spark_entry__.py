@@ -493,13 +493,57 @@ def q_rejected_preview(spark, sf_dir):
 
 # --- documents and the whole job ------------------------------------------------------------------
 
-def q_bundle(spark, sf_dir):
+def _documents(spark, sf_dir):
+    """Heads and list rows of all runs; the rows are stored first, as in the job."""
     d = derived(spark, sf_dir)
-    daily = shared_events.daily_summary(d.flags, shared_events.active_societies(d.records))
-    own = d.baselines.join(d.records.select(*PERIOD).distinct(), PERIOD, "left_semi")
-    return bundle.run_documents(
-        d.records, d.stats.drop("processed_at"), own, d.flags, d.counts, daily, rollups.history_counts(d.stats)
-    ).select(*BUNDLE.names)
+
+    def heads():
+        own = d.baselines.join(d.records.select(*PERIOD).distinct(), PERIOD, "left_semi")
+        return bundle.documents(d.records, d.stats.drop("processed_at"), own, d.counts, rollups.history_counts(d.stats), _items(spark, sf_dir))
+
+    return d._once("documents", heads)
+
+
+def _items(spark, sf_dir):
+    d = derived(spark, sf_dir)
+
+    def items():
+        daily = shared_events.daily_summary(d.flags, shared_events.active_societies(d.records))
+        own = d.baselines.join(d.records.select(*PERIOD).distinct(), PERIOD, "left_semi")
+        return bundle.list_items(d.stats.drop("processed_at"), own, d.flags, d.counts, daily)
+
+    return d._once("bundle_items", items)
+
+
+def q_bundle(spark, sf_dir):
+    """What the documents say, read back from their text."""
+    numbers = {
+        "records_processed": "processing_metrics.records_processed", "societies_active": "processing_metrics.societies_active",
+        "initial_flags": "sections.audit_trail.initial_flags", "seasonal_suppressed": "sections.audit_trail.seasonal_suppressed",
+        "final_flags": "sections.audit_trail.final_flags", "history_rows": "history_inputs.historical_month_stats_count",
+        "detail_rows": "sections.detail_logs.rows.rows", "eligible_baseline_rows": "sections.calibration.eligible_societies",
+        **{f"{name}_rows": f"{name}.rows" for name in bundle.LISTS[:-1]},
+    }
+    texts = {"season": "file_identity.season", "summary_text": "retrieval.summary_text", "run_mode": "processing_metrics.mode"}
+    said = {n: F.get_json_object("bundle_json", f"$.{p}").cast("bigint") for n, p in numbers.items()}
+    said |= {n: F.get_json_object("bundle_json", f"$.{p}") for n, p in texts.items()}
+    said["fields"] = F.size(F.json_object_keys("bundle_json")).cast("bigint")
+    said["watchlist_rows"] = F.json_array_length(F.get_json_object("bundle_json", "$.sections.calibration.watchlist")).cast("bigint")
+    categories = F.from_json(F.get_json_object("bundle_json", "$.retrieval.top_diagnoses"), "map<string, bigint>")
+    said["categorized_flags"] = F.aggregate(F.map_values(F.coalesce(categories, F.create_map().cast("map<string, bigint>"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _documents(spark, sf_dir).select(*PERIOD, "mode", *[c.alias(n) for n, c in said.items()])
+
+
+def q_bundle_items(spark, sf_dir):
+    """The list rows of the documents, read back from their text: how many, and a sum over each list."""
+    read = F.get_json_object("item_json", "$.dcs").cast("double")
+    return _items(spark, sf_dir).groupBy(*PERIOD, "list").agg(
+        F.count("*").alias("items"), F.sum(F.coalesce(read, F.lit(0.0))).cast("bigint").alias("dcs_total")
+    )
+
+
+def q_top_findings(spark, sf_dir):
+    return bundle.top_findings(_documents(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # The corpus operators and the pipeline over them may be absent; whatever else fails to import is an error.

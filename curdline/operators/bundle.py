@@ -1,9 +1,9 @@
-"""One nested document per run.
+"""One nested document per run (B1, W8), in one layout whatever its size.
 
-Small parts (identity, metrics, top lists, texts) are joined once per run. The long lists (statistics,
-baselines, flags, severity, ...) can be of any length, so a run with more than ``ITEMS_PER_PART`` rows in a
-list is written as several documents: rows are dealt to parts by hash, part 0 carries the small fields, and
-no row is dropped. An ordinary run has exactly one part.
+A document's head is one row: identity, metrics, top lists, texts, and of every long list its name and number of rows.
+All of it is bounded. The rows of the long lists (statistics, baselines, flags, severity, ...) are a table of their
+own, one JSON object each, stored by month like all tables; a list may be of any length and no row of the head grows
+with it. :func:`with_lists` puts the two together for a reader who wants whole documents.
 """
 
 from __future__ import annotations
@@ -27,54 +27,79 @@ from curdline.schema import (
     RULE_TRIGGERS,
 )
 
-ITEMS_PER_PART = 50_000
+#: The long lists, in the order of a document.
+LISTS = [
+    "current_month_stats", "historical_baselines", "anomaly_records", "report_records", "daily_summary", "severity",
+    "recurring_signal_indicators", "detail_rows",
+]
 
 
-def run_documents(
-    records: DataFrame,
-    stats: DataFrame,
-    baselines: DataFrame,
-    flags: DataFrame,
-    counts: DataFrame,
-    daily: DataFrame,
-    history: DataFrame,
-    scope: list[str] = PERIOD,
-    filename: str = "",
-    items_per_part: int = ITEMS_PER_PART,
+def list_items(
+    stats: DataFrame, baselines: DataFrame, flags: DataFrame, counts: DataFrame, daily: DataFrame, scope: list[str] = PERIOD
 ) -> DataFrame:
-    """Rows (facility, file_year, file_month, part, parts, mode, bundle_json)."""
-    totals = rollups.period_totals(records, counts, scope)
-    severities = rollups.severity(counts, last_periods=None)
-    report = flags.where(F.col("seasonal_likely") == 0)
-    lists = {
+    """Rows (facility, file_year, file_month, list, item_json): the long lists of all runs."""
+    rows = {
         "current_month_stats": stats,
         "historical_baselines": rollups.baseline_snapshot(baselines),
         "anomaly_records": _dated(flags),
-        "report_records": _dated(report),
+        "report_records": _dated(flags.where(F.col("seasonal_likely") == 0)),
         "daily_summary": _dated(daily),
-        "severity": severities,
+        "severity": rollups.severity(counts, last_periods=None),
         "recurring_signal_indicators": _dated(rollups.recurring_indicators(counts, scope=scope)),
         "detail_rows": _dated(rollups.detail_rows(flags)),
     }
-    runs = _parts(totals, lists, scope, items_per_part)
-    pieces = [runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))]
-    pieces += [
-        piece.withColumn("part", F.lit(0))
-        for piece in _header(records, stats, counts, totals, severities, history, baselines, scope)
-    ]
-    pieces += [_dealt(rows, runs, scope, name) for name, rows in lists.items()]
-    # Every piece has at most one row per part, so a union and one aggregate put a document together.
-    fields = [c for c in dict.fromkeys(c for p in pieces for c in p.columns) if c not in [*scope, "part"]]
+    facility = F.col("facility") if "facility" in scope else F.lit(BATCH_FACILITY)
+    return union_all([
+        rows[name].select(
+            facility.alias("facility"), F.col("file_year").cast("int").alias("file_year"), F.col("file_month").cast("int").alias("file_month"),
+            F.lit(name).alias("list"), F.to_json(F.struct(*rows[name].columns), {"ignoreNullFields": "false"}).alias("item_json"),
+        )
+        for name in LISTS
+    ])
+
+
+def documents(
+    records: DataFrame, stats: DataFrame, baselines: DataFrame, counts: DataFrame, history: DataFrame, items: DataFrame,
+    scope: list[str] = PERIOD, filename: str = "",
+) -> DataFrame:
+    """Rows (facility, file_year, file_month, mode, bundle_json): the heads of all runs, with the sizes of their lists."""
+    totals = rollups.period_totals(records, counts, scope)
+    severities = rollups.severity(counts, last_periods=None)
+    sizes = items.groupBy(*scope, "list").agg(F.count(F.lit(1)).alias("rows")).groupBy(*scope).agg(
+        F.map_from_entries(F.collect_list(F.struct("list", "rows"))).alias("list_rows")
+    )
+    pieces = [totals.select(*scope, "mode"), sizes, *_header(records, stats, counts, totals, severities, history, baselines, scope)]
+    # Every piece has at most one row per run, so a union and one aggregate put a document together.
+    fields = [c for c in dict.fromkeys(c for p in pieces for c in p.columns) if c not in scope]
     united = union_all([_keyed_by_run(p, scope) for p in pieces])
-    whole = united.groupBy("run", "part").agg(*[F.first(c, True).alias(c) for c in fields]).select("*", "run.*")
+    whole = united.groupBy("run").agg(*[F.first(c, True).alias(c) for c in fields]).select("*", "run.*")
     facility = F.col("facility") if "facility" in scope else F.lit(BATCH_FACILITY)
-    return whole.where(F.col("parts").isNotNull()).select(
-        facility.alias("facility"), "file_year", "file_month", F.col("part").cast("int").alias("part"),
-        F.col("parts").cast("int").alias("parts"), "mode",
+    return whole.where(F.col("mode").isNotNull()).select(
+        facility.alias("facility"), F.col("file_year").cast("int").alias("file_year"),
+        F.col("file_month").cast("int").alias("file_month"), "mode",
         F.to_json(_document(facility, filename), {"ignoreNullFields": "false"}).alias("bundle_json"),
     )
 
 
+def with_lists(heads: DataFrame, items: DataFrame) -> DataFrame:
+    """Heads with ``lists``, a map from each list's name to its rows, for runs that fit in one row."""
+    lists = items.groupBy(*PERIOD, "list").agg(F.sort_array(F.collect_list("item_json")).alias("rows"))
+    held = lists.groupBy(*PERIOD).agg(F.map_from_entries(F.collect_list(F.struct("list", "rows"))).alias("lists"))
+    return heads.join(held, PERIOD, "left").withColumn("lists", F.coalesce("lists", F.create_map().cast("map<string, array<string>>")))
+
+
+def top_findings(heads: DataFrame) -> DataFrame:
+    """The findings a document names first (W8), read back from its text: severities, or where there are none the watchlist."""
+    found = F.from_json(
+        F.get_json_object("bundle_json", "$.sections.executive_summary.top_findings"),
+        "array<struct<facility: string, dcs: double, society_name: string, severity: string, deviation_score: double>>",
+    )
+    return heads.select(*PERIOD, F.posexplode(found).alias("place", "row")).select(
+        *PERIOD, (F.col("place") + 1).alias("rank"), F.col("row.facility").alias("finding_facility"), "row.dcs", "row.society_name",
+        F.coalesce("row.severity", F.lit("WATCHLIST")).alias("finding"),
+    )
+
+
 def _keyed_by_run(df: DataFrame, scope: list[str]) -> DataFrame:
     """The scope as one struct column.
 
@@ -89,20 +114,6 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumns({c: printed_date(F.col(c)) for c in dates}) if dates else df
 
 
-def _parts(totals: DataFrame, lists: dict[str, DataFrame], scope: list[str], per_part: int) -> DataFrame:
-    sizes = [rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")) for rows in lists.values()]
-    longest = union_all([_keyed_by_run(s, scope) for s in sizes]).groupBy("run").agg(F.max("n").alias("n")).select("run.*", "n")
-    needed = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / per_part), F.lit(1)).cast("int")
-    return totals.select(*scope, "mode").join(longest, scope, "left").select(*scope, "mode", needed.alias("parts"))
-
-
-def _dealt(rows: DataFrame, runs: DataFrame, scope: list[str], name: str) -> DataFrame:
-    """Each part's rows as one sorted array."""
-    part = F.pmod(F.xxhash64(*rows.columns), F.col("parts")).cast("int")
-    dealt = rows.join(runs.select(*scope, "parts"), scope).withColumn("part", part)
-    return dealt.groupBy(*scope, "part").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
-
-
 def _top_list(ranked: DataFrame, scope: list[str], name: str) -> DataFrame:
     """A ranked top-k table as one short array per run."""
     cols = [c for c in ranked.columns if c != "rank"]
@@ -162,6 +173,10 @@ def _document(facility: Column, filename: str) -> Column:
         return F.struct(F.lit(title).alias("title"), *[c.alias(n) for n, c in fields.items()])
 
     col = F.col
+
+    def listed(name: str) -> Column:
+        return F.struct(F.lit(name).alias("list"), F.coalesce(F.try_element_at("list_rows", F.lit(name)), F.lit(0)).alias("rows"))
+
     distribution = section(
         "Screening Category Distribution", counts=col("diagnosis_counts"), confidence_counts=col("confidence_counts")
     )
@@ -181,11 +196,11 @@ def _document(facility: Column, filename: str) -> Column:
         "diagnosis_distribution": distribution,
         "recurring_signal_indicators": section(
             "Recurring Screening Signal Indicators", interpretation=F.lit(RECURRING_SECTION_TEXT),
-            rows=col("recurring_signal_indicators"),
+            rows=listed("recurring_signal_indicators"),
         ),
         "screening_distribution": distribution,
         "top_offenders": section("Top Screening Signals by Society", rows=col("top_offenders")),
-        "detail_logs": section("Detail Logs", rows=col("detail_rows")),
+        "detail_logs": section("Detail Logs", rows=listed("detail_rows")),
         "action_plan": section("Action Plan", actions=pairs(ACTION_PLAN, "diagnosis", "action")),
         "methodology": section(
             "Methodology Summary", rules=pairs(RULE_TRIGGERS, "id", "trigger"),
@@ -198,10 +213,9 @@ def _document(facility: Column, filename: str) -> Column:
         ),
         "calibration": section(
             "Calibration / Insufficient History", watchlist=col("watchlist"),
-            eligible_societies=F.coalesce("eligible_baseline_rows", F.lit(0)), baseline_snapshot=col("historical_baselines"),
+            eligible_societies=F.coalesce("eligible_baseline_rows", F.lit(0)), baseline_snapshot=listed("historical_baselines"),
         ),
     }
-    lead = F.col("part") == 0
     fields = {
         "methodology_version": F.lit(METHODOLOGY_VERSION),
         "disclaimer": F.lit(DISCLAIMER),
@@ -215,10 +229,7 @@ def _document(facility: Column, filename: str) -> Column:
             F.size("facilities").alias("facility_count"), F.lit(0).alias("duplicates_removed"),
             F.lit(0).alias("parse_warnings"), "mode",
         ),
-        **{name: F.coalesce(col(name), F.array()) for name in [
-            "current_month_stats", "historical_baselines", "anomaly_records", "report_records", "daily_summary",
-            "severity", "recurring_signal_indicators",
-        ]},
+        **{name: listed(name) for name in LISTS[:-1]},
         "sections": F.struct(*[c.alias(n) for n, c in sections.items()]),
         "retrieval": F.struct(
             summary.alias("summary_text"), col("diagnosis_counts").alias("top_diagnoses"),
@@ -228,6 +239,4 @@ def _document(facility: Column, filename: str) -> Column:
             F.coalesce("historical_month_stats_count", F.lit(0)).alias("historical_month_stats_count")
         ),
     }
-    always = {"file_identity", "current_month_stats", "historical_baselines", "anomaly_records", "report_records",
-              "daily_summary", "severity", "recurring_signal_indicators", "sections"}
-    return F.struct(*[(c if n in always else F.when(lead, c)).alias(n) for n, c in fields.items()])
+    return F.struct(*[c.alias(n) for n, c in fields.items()])

@@ -360,6 +360,34 @@ ws AS (SELECT {P}, dcs, society_name, record_count, fat_pct_mean AS fat_mean, sn
          CAST(printf('%.2f', {fz}) AS DOUBLE) AS deviation_score FROM st JOIN fs USING ({P})),
 wr AS (SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY deviation_score DESC, facility, dcs, society_name) AS rank FROM ws)
 SELECT {P}, rank, dcs, society_name, record_count, {_r6(['fat_mean', 'snf_mean', 'clr_mean'])}, deviation_score FROM wr WHERE rank <= 15"""
+    lists = {
+        "current_month_stats": f"SELECT {P}, dcs FROM st", "historical_baselines": f"SELECT {P}, dcs FROM bl JOIN (SELECT DISTINCT {P} FROM r) USING ({P})",
+        "anomaly_records": f"SELECT {P}, dcs FROM fl", "report_records": f"SELECT {P}, dcs FROM rep", "daily_summary": f"SELECT {P}, 0 AS dcs FROM ac",
+        "severity": f"SELECT {P}, dcs FROM sv",
+        "recurring_signal_indicators": f"SELECT {P}, dcs FROM rep GROUP BY {P}, dcs, society_name, diagnosis HAVING count(*) >= 2",
+        "detail_rows": f"""SELECT {P}, dcs FROM rep WHERE NOT (diagnosis = 'UNCLASSIFIED_SCREENING_SIGNAL'
+          AND confidence = 'MONITOR' AND abs(z_snf) <= 1.5 AND abs(z_fat) <= 1.5 AND abs(z_clr) <= 1.5)""",
+    }
+    items = ",\n".join([f"li_{n} AS ({sql})" for n, sql in lists.items()]) + ",\nli AS (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS list, {P}, count(*) AS items, CAST(sum(dcs) AS BIGINT) AS dcs_total FROM li_{n} GROUP BY ALL" for n in lists) + ")"
+    q["bundle_items"] = f"{_FULL},\n{_SEVERITY},\n{items}\nSELECT {P}, list, items, dcs_total FROM li"
+    sizes = ", ".join(f"CAST(coalesce(sum(items) FILTER (WHERE list = '{n}'), 0) AS BIGINT) AS {n}{'' if n == 'detail_rows' else '_rows'}" for n in lists)
+    q["bundle"] = f"""{_FULL},\n{_SEVERITY},\n{_TOTALS},\n{items},
+sz AS (SELECT {P}, {sizes} FROM li GROUP BY ALL),
+hc AS (SELECT {P}, CAST(coalesce(sum(c) OVER (ORDER BY file_year, file_month, facility ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+  AS history_rows, least(c, 15) AS watchlist_rows FROM (SELECT {P}, count(*) AS c FROM st GROUP BY ALL)),
+el AS (SELECT file_year, file_month, CAST(sum(eligible) AS BIGINT) AS eligible_baseline_rows FROM bl GROUP BY ALL)
+SELECT {P}, mode, mode AS run_mode, records_processed, distinct_dcs AS societies_active, initial_flags, seasonal_suppressed, final_flags, history_rows,
+  sz.* EXCLUDE (facility, file_year, file_month), coalesce(eligible_baseline_rows, 0) AS eligible_baseline_rows, watchlist_rows, final_flags AS categorized_flags,
+  CAST(15 AS BIGINT) AS fields, CASE WHEN file_month BETWEEN 4 AND 9 THEN 'summer' ELSE 'winter' END AS season,
+  CASE WHEN mode = 'detection' THEN 'Prioritized ' || final_flags || ' records for review for ' || printf('%s %d-%02d', facility, file_year, file_month) || '.'
+    ELSE 'Calibration report for ' || printf('%s %d-%02d', facility, file_year, file_month) || '; history is not yet sufficient for record-level screening.' END AS summary_text
+FROM tot JOIN sz USING ({P}) JOIN hc USING ({P}) LEFT JOIN el USING (file_year, file_month)"""
+    watch = q["watchlist"].split(",\nfs AS", 1)[1].rsplit("\nSELECT", 1)[0]
+    q["top_findings"] = f"""{_FULL},\n{_SEVERITY},\nfs AS{watch},
+s8 AS (SELECT {P}, row_number() OVER (PARTITION BY {P} ORDER BY dcs, society_name) AS rank, facility AS finding_facility, dcs, society_name, severity AS finding FROM sv)
+SELECT * FROM s8 WHERE rank <= 8 UNION ALL
+SELECT {P}, rank, facility, dcs, society_name, 'WATCHLIST' FROM wr ANTI JOIN sv USING ({P}) WHERE rank <= 8"""
     q["top_signals"] = f"""{_FULL},
 g AS (SELECT {P}, dcs, society_name, diagnosis, count(*) AS count FROM rep GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY count DESC, dcs, society_name, diagnosis) AS rank FROM g)

@@ -20,6 +20,7 @@ from curdline.schema import (
     BATCH,
     BATCH_FACILITY,
     BUNDLE,
+    BUNDLE_ITEM,
     EVENT_KEYS,
     FLAG_KEYS,
     MONTH_KEYS,
@@ -150,10 +151,12 @@ def _run(
 
     history = _history_counts(known, scope, tables.read_table(spark, state.run_ledger, ledger.schema))
     own_baselines = baselines.join(run_periods, PERIOD, "left_semi")
-    documents = bundle.run_documents(
-        records, stats, own_baselines, flags, counts, daily, history, scope, filename
-    )
-    save("report_bundles", documents, [*PERIOD, "part"])
+    items = bundle.list_items(stats, own_baselines, flags, counts, daily, scope)
+    save("bundle_items", items, [*PERIOD, "list", "item_json"])
+    runs = records.select(*PERIOD).distinct() if "facility" in scope else months.withColumn("facility", F.lit(BATCH_FACILITY))
+    own_items = tables.read_table(spark, state.bundle_items, BUNDLE_ITEM).join(F.broadcast(runs), PERIOD, "left_semi")
+    documents = bundle.documents(records, stats, own_baselines, counts, history, own_items, scope, filename)
+    save("report_bundles", documents, PERIOD)
     return rollups.run_summary(audit)
 
 

@@ -7,13 +7,14 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from curdline.operators import bundle, rollups, shared_events
 from curdline.operators.baselines import baselines_for_period
 from curdline.operators.month_stats import month_stats
 from curdline.plans import screening
-from curdline.schema import BUNDLE, PERIOD
+from curdline.schema import BUNDLE, BUNDLE_ITEM
 from curdline.sources import tables
 
 
@@ -45,8 +46,17 @@ def stored_rows(spark, state, name):
 
 
 def documents(spark, state):
-    rows = tables.read_table(spark, f"{state}/report_bundles", BUNDLE).orderBy("facility", "file_year", "file_month", "part").collect()
-    return rows, [json.loads(r["bundle_json"]) for r in rows]
+    """Stored documents, put together with their lists."""
+    items = tables.read_table(spark, f"{state}/bundle_items", BUNDLE_ITEM)
+    heads = tables.read_table(spark, f"{state}/report_bundles", BUNDLE)
+    rows = bundle.with_lists(heads, items).orderBy("facility", "file_year", "file_month").collect()
+    docs = [json.loads(r["bundle_json"]) for r in rows]
+    for row, doc in zip(rows, docs, strict=True):
+        for name in bundle.LISTS[:-1]:
+            items = [json.loads(x) for x in row["lists"].get(name, [])]
+            assert doc[name] == {"list": name, "rows": len(items)}
+            doc[name] = items
+    return rows, docs
 
 
 def test_incremental_runs(spark, records, tmp_path):
@@ -61,8 +71,7 @@ def test_incremental_runs(spark, records, tmp_path):
     assert summary[1]["final_flags"] == 1 and summary[1]["records_processed"] == 130
 
     rows, docs = documents(spark, state)
-    assert [(r["file_month"], r["mode"], r["parts"]) for r in rows] == [
-        (10, "seed_only", 1), (11, "seed_only", 1), (12, "seed_only", 1), (1, "detection", 1)]
+    assert [(r["file_month"], r["mode"]) for r in rows] == [(10, "seed_only"), (11, "seed_only"), (12, "seed_only"), (1, "detection")]
     assert [d["history_inputs"]["historical_month_stats_count"] for d in docs] == [0, 5, 10, 15]
     january = docs[3]
     assert len(january) == 15 and january["methodology_version"] == "screening-v1-safety"
@@ -135,17 +144,24 @@ def test_forced_rerun_leaves_nothing_stale(spark, records, tmp_path):
     assert stored_rows(spark, state, "month_stats").count() == 15 + 6 + 5
 
 
-def test_long_documents_are_split_and_stay_whole(spark, records):
+def test_heads_do_not_grow_with_their_lists(spark, records):
+    """A period with many flags: the head names the lists and their sizes, every row is in the list table."""
     data = winter(records).cache()
     stats = month_stats(data).drop("processed_at").cache()
-    flags = screening.score(data, baselines_for_period(stats, 2025, 1))
-    counts = rollups.flag_counts(flags)
-    daily = shared_events.daily_summary(flags, shared_events.active_societies(data))
-    baselines = baselines_for_period(stats, 2025, 1)
-    rows = bundle.run_documents(
-        data, stats, baselines, flags, counts, daily, rollups.history_counts(stats), PERIOD, items_per_part=5
-    ).where("file_month = 1").orderBy("part").collect()
-    assert len(rows) == rows[0]["parts"] == 6
-    docs = [json.loads(r["bundle_json"]) for r in rows]
-    assert sum(len(d["daily_summary"]) for d in docs) == 26 and sum(len(d["current_month_stats"]) for d in docs) == 5
-    assert [d["methodology_version"] for d in docs] == ["screening-v1-safety"] + [None] * 5
+    baselines = baselines_for_period(stats, 2025, 1).cache()
+    once = screening.score(data, baselines).cache()
+    heads = []
+    for copies in (1, 400):
+        flags = once.crossJoin(spark.range(copies).selectExpr("CAST(id + 1 AS INT) AS copy")).withColumn("serial_no", F.expr("serial_no * 1000 + copy")).drop("copy")
+        counts = rollups.flag_counts(flags)
+        daily = shared_events.daily_summary(flags, shared_events.active_societies(data))
+        items = bundle.list_items(stats, baselines, flags, counts, daily).cache()
+        found = bundle.documents(data, stats, baselines, counts, rollups.history_counts(stats), items).where("file_month = 1").first()
+        head = json.loads(found["bundle_json"])
+        assert head["anomaly_records"] == {"list": "anomaly_records", "rows": copies}
+        assert head["sections"]["detail_logs"]["rows"] == {"list": "detail_rows", "rows": copies}
+        assert items.where("list = 'report_records' AND file_month = 1").count() == copies
+        heads.append(len(found["bundle_json"]))
+    assert heads[1] < heads[0] + 1000
+    first = bundle.top_findings(spark.createDataFrame([found], "facility string, file_year int, file_month int, mode string, bundle_json string"))
+    assert [(r["rank"], r["dcs"], r["finding"]) for r in first.collect()] == [(1, 2.0, "VERY_FREQUENT")]
