@@ -28,6 +28,7 @@ from curdline.schema import (
     METRICS,
     MONTH_KEYS,
     PERIOD,
+    REPORT_COLUMNS,
     RULES,
     SUFFIXES,
 )
@@ -491,6 +492,66 @@ def q_rejected_preview(spark, sf_dir):
     return validation.preview(validation.rejected(_validated(spark, sf_dir))).select("source_file", "source_row")
 
 
+@lru_cache(maxsize=8)
+def _report_folder(spark, sf_dir, kind):
+    """The raw rows as report files, written once for each data set."""
+    folder = f"{tables.shared_folder(spark)}/curdline/{uuid.uuid4().hex}/reports"
+    fixtures.written_reports(spark, sf_dir, folder, kind)
+    return folder
+
+
+def _over_many_splits(spark, make):
+    """A plan made while files are cut into splits of 16 KB, so that most files have several."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 14))
+    try:
+        return tables.materialized(make(), "scanned")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+_SCANNED = ["source_file", "source_row", "facility", "file_year", "file_month", "schema_layout", *REPORT_COLUMNS]
+
+
+def q_scanned_reports(spark, sf_dir):
+    folder = _report_folder(spark, sf_dir, "csv")
+    return _over_many_splits(spark, lambda: reports.scan_csv_reports(spark, folder).select(*_SCANNED))
+
+
+def q_row_numbers(spark, sf_dir):
+    folder = _report_folder(spark, sf_dir, "csv")
+    rows = _over_many_splits(spark, lambda: reports.scan_csv_reports(spark, folder).select("source_file", "source_row"))
+    return rows.groupBy("source_file").agg(
+        F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"), F.countDistinct("source_row").alias("rows")
+    )
+
+
+def q_strict_gate(spark, sf_dir):
+    """What the gate decides on each file: refused, and how many records are loaded if such files are left out."""
+    folder = _report_folder(spark, sf_dir, "csv")
+    raw = reports.scan_csv_reports(spark, folder)
+    checked = tables.materialized(validation.validate(raw), "checked")
+    report = validation.validation_report(raw, checked, reports.report_files(spark, folder))
+    loaded = validation.only_clean_files(validation.accepted(checked), report).groupBy("source_file").agg(F.count("*").alias("n"))
+    refused = validation.strict_failures(report).select("source_file", F.lit(True).alias("bad"))
+    return report.join(refused, "source_file", "left").join(loaded, "source_file", "left").select(
+        "source_file", F.coalesce("bad", F.lit(False)).alias("refused"), "accepted_rows", "rejected_rows",
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("loaded"),
+    )
+
+
+def q_scanned_new_reports(spark, sf_dir):
+    """Only the files of periods without a document are opened."""
+    catalogue = reports.report_catalogue(spark, _report_folder(spark, sf_dir, "csv"))
+    fresh = merge.only_new_periods(catalogue, _some_bundles(fixtures.records(spark, sf_dir)))
+    return reports.scan_csv_reports(spark, "", files=fresh).groupBy("source_file", "schema_layout").agg(F.count("*").alias("rows"))
+
+
+def q_parquet_reports(spark, sf_dir):
+    """A folder of exports of both layouts, each read by its own header."""
+    return reports.scan_parquet_reports(spark, _report_folder(spark, sf_dir, "parquet")).select(*_SCANNED)
+
+
 # --- documents and the whole job ------------------------------------------------------------------
 
 def _documents(spark, sf_dir):

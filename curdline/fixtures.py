@@ -5,7 +5,12 @@ The texts are valid in Spark SQL and in DuckDB, so queries and their oracle read
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curdline.schema import LAYOUT_A, LAYOUT_B
 
 RECORDS_SQL = """
 WITH b AS (
@@ -118,3 +123,27 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "lineitem")
     return spark.sql(HEADERS_SQL)
+
+
+def written_reports(spark: SparkSession, sf_dir: str, folder: str, kind: str = "csv") -> None:
+    """The raw rows as report files below ``folder``: FacilityA's in layout A, FacilityB's in layout B, rows by source_row.
+
+    Spark writes one folder per file; each is then given its report's name.
+    """
+    rows = raw_rows(spark, sf_dir)
+    for facility, layout in (("FacilityA", LAYOUT_A), ("FacilityB", LAYOUT_B)):
+        own = rows.where(F.col("facility") == facility).repartition("source_file").sortWithinPartitions("source_file", "source_row", *LAYOUT_A.values())
+        cells = list(layout.items()) if facility == "FacilityA" else list(layout.items())[::-1]
+        named = own.select("source_file", *[F.col(dst).alias(src) for src, dst in cells])
+        out = named.write.partitionBy("source_file")
+        if kind == "csv":
+            out.csv(f"{folder}/{facility}", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        else:
+            out.parquet(f"{folder}/{facility}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in files.globStatus(path(f"{folder}/*/source_file=*/part-*")):
+        own = part.getPath().getParent()
+        name = unquote(own.getName().split("=", 1)[1])
+        files.rename(part.getPath(), path(own.getParent(), name.removesuffix(".csv") + f".{kind}"))
+        files.delete(own, True)

@@ -440,6 +440,25 @@ SELECT source_file, facility, CAST({_MONTHS} AS INT) AS file_month, file_year, c
     head = f"WITH hd AS ({HEADERS_SQL}), hs AS (SELECT *, list_transform(string_split(header_text, '|'), lambda c: trim(c)) AS h FROM hd)"
     q["layout_detect"] = f"{head}\nSELECT {P}, {_layout_case()} AS schema_layout FROM hs"
     q["schema_fingerprint"] = f"{head}\nSELECT {P}, substr(sha256(array_to_string(h, chr(10))), 1, 16) AS schema_fingerprint FROM hs"
+    named = "serial_no, vehicle, date, shift, dcs, society_name, qty, fat_pct, snf_pct, clr, kg_fat, kg_snf, rate, amount".split(", ")
+
+    def scanned(kind: str, empty_is_null: bool = True) -> str:
+        cells = ", ".join(f"nullif({c}, '') AS {c}" if empty_is_null else c for c in named)
+        return f"""WITH raw AS ({RAW_ROWS_SQL})
+SELECT replace(source_file, '.csv', '.{kind}') AS source_file, row_number() OVER (PARTITION BY source_file ORDER BY source_row, {", ".join(f"{c} NULLS FIRST" for c in named)}) + 1 AS source_row, {P},
+  CASE WHEN facility = 'FacilityA' THEN 'layout_a' ELSE 'layout_b' END AS schema_layout, {cells} FROM raw"""
+
+    q["scanned_reports"] = scanned("csv")
+    q["parquet_reports"] = scanned("parquet", False)
+    q["row_numbers"] = f"""WITH raw AS ({RAW_ROWS_SQL})
+SELECT source_file, CAST(2 AS BIGINT) AS first_row, count(*) + 1 AS last_row, count(*) AS rows FROM raw GROUP BY ALL"""
+    q["scanned_new_reports"] = f"""WITH raw AS ({RAW_ROWS_SQL})
+SELECT source_file, CASE WHEN facility = 'FacilityA' THEN 'layout_a' ELSE 'layout_b' END AS schema_layout, count(*) AS rows FROM raw
+WHERE file_month NOT IN (2, 7) AND NOT (facility = 'FacilityB' AND file_year < 1998) GROUP BY ALL"""
+    q["strict_gate"] = f"""{_RAW},
+g AS (SELECT source_file, count(*) FILTER (rejection_reason = '') AS accepted_rows, count(*) FILTER (rejection_reason <> '') AS rejected_rows FROM va GROUP BY ALL)
+SELECT source_file, rejected_rows > 0 OR accepted_rows = 0 AS refused, accepted_rows, rejected_rows,
+  CASE WHEN rejected_rows > 0 THEN 0 ELSE accepted_rows END AS loaded FROM g"""
     q["row_rejections"] = f"{_RAW}\nSELECT source_file, source_row, rejection_reason FROM va WHERE rejection_reason <> ''"
     q["accepted_records"] = f"""{_RAW}
 SELECT source_file, source_row, facility, file_year, file_month, serial_no, trim(vehicle) AS vehicle, d AS date, sh AS shift, n_dcs AS dcs,

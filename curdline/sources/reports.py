@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +85,41 @@ def _decoded_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def _numbered_lines(spark: SparkSession, source_dir: str, glob: str) -> tuple[DataFrame, DataFrame, int]:
-    """Lines with split-local ids, one row per file split, and a bound for the number of splits."""
-    scan = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(source_dir)
-    lines = scan.select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        _decoded_name().alias("source_file"),
-        F.monotonically_increasing_id().alias("line_id"),
+def report_catalogue(spark: SparkSession, source_dir: str, glob: str = "*.csv") -> DataFrame:
+    """One row per file that names a period: path, length, source_file and identity. No file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source_dir)
+    named = found.select("path", "length", _decoded_name().alias("source_file"))
+    return named.withColumn("identity", file_identity(F.col("source_file"))).where(F.col("identity").isNotNull()).select(
+        "path", "length", "source_file", "identity.*"
     )
+
+
+def _listed(catalogue: DataFrame) -> list[str]:
+    """The paths of a catalogue, which a scan needs on the driver: Spark keeps the list of a scan's files there."""
+    return [r["path"] for r in catalogue.select("path").collect()]
+
+
+def _numbered_lines(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Lines of catalogued files with split-local ids, one row per file split, and a bound for the number of splits."""
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    listed = files.select("path", (F.ceil(F.col("length") / split) + 1).alias("splits")).collect()
+    scan = spark.read.text([r["path"] for r in listed]) if listed else spark.createDataFrame([], "value string")
+    if not listed:
+        columns = "value string, path string, block_start bigint, source_file string, line_id bigint"
+        lines = spark.createDataFrame([], columns)
+    else:
+        lines = scan.select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            _decoded_name().alias("source_file"),
+            F.monotonically_increasing_id().alias("line_id"),
+        )
     splits = lines.groupBy("path", "block_start", "source_file").agg(
         F.min("line_id").alias("first_id"), F.count(F.lit(1)).alias("lines"),
         F.min_by("value", "line_id").alias("first_line"),
     )
-    # A scan partition holds at most maxPartitionBytes, so there are at most this many splits.
-    most = len(scan.inputFiles()) + 2 * scan.rdd.getNumPartitions()
-    return lines, splits, most
+    return lines, splits, sum(r["splits"] for r in listed)
 
 
 def _files_with_offsets(splits: DataFrame) -> DataFrame:
@@ -124,20 +147,25 @@ def _files_with_offsets(splits: DataFrame) -> DataFrame:
 
 def report_files(spark: SparkSession, source_dir: str, glob: str = "*.csv") -> DataFrame:
     """Catalogue of report files: identity, layout and fingerprint, one row per file."""
-    _, splits, _ = _numbered_lines(spark, source_dir, glob)
+    return catalogued_files(spark, report_catalogue(spark, source_dir, glob))
+
+
+def catalogued_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The same for the files of a catalogue."""
+    _, splits, _ = _numbered_lines(spark, files)
     return _files_with_offsets(splits).where(F.col("lines_before") == 0).select(
         "source_file", "identity.*", "schema_layout", "schema_fingerprint"
     )
 
 
-def scan_csv_reports(spark: SparkSession, source_dir: str, glob: str = "*.csv") -> DataFrame:
-    """Raw rows of all report files below ``source_dir``, as text in canonical columns.
+def scan_csv_reports(spark: SparkSession, source_dir: str, glob: str = "*.csv", files: DataFrame | None = None) -> DataFrame:
+    """Raw rows of all report files below ``source_dir``, or of those of a catalogue, as text in canonical columns.
 
     One scan serves files of both layouts and any column order. Row numbers are exact and need no task per
     file: a line's number is its place in its split plus the lines of the file's earlier splits. Files whose
     name gives no period are skipped; files of unknown layout keep no rows (``report_files`` lists them).
     """
-    lines, splits, most = _numbered_lines(spark, source_dir, glob)
+    lines, splits, most = _numbered_lines(spark, report_catalogue(spark, source_dir, glob) if files is None else files)
     known = _files_with_offsets(splits).where(F.col("identity").isNotNull() & F.col("schema_layout").isNotNull())
     known = known.select(
         "path", "block_start", "first_id", "lines_before", "identity.*", "schema_layout", "schema_fingerprint",
@@ -178,18 +206,45 @@ def map_columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*(keep or []), *[cell(src, dst) for src, dst in columns.items()])
 
 
-def scan_parquet_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of Parquet exports of one layout; the file format itself numbers the rows."""
-    df = spark.read.option("recursiveFileLookup", True).parquet(path)
-    names = [c.strip() for c in df.columns]
-    header = F.array(*[F.lit(c) for c in names])
-    numbered = df.withColumns({
-        "source_file": _decoded_name(),
-        "source_row": F.col("_metadata.row_index") + 2,
-    })
-    numbered = numbered.withColumn("identity", file_identity(F.col("source_file")))
-    mapped = map_columns(numbered, ["source_file", "source_row", "identity"])
-    return mapped.where(F.col("identity").isNotNull()).select(
-        "source_file", "source_row", "identity.*", layout_of(header).alias("schema_layout"),
-        schema_fingerprint(header).alias("schema_fingerprint"), *REPORT_COLUMNS,
-    )
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        headers = [pq.read_schema(pa.BufferReader(c.as_buffer())).names for c in batch.column("content")]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headers, pa.list_(pa.string()))], names=["path", "header"])
+
+
+def parquet_headers(spark: SparkSession, source_dir: str, files: DataFrame | None = None, glob: str = "*.parquet") -> DataFrame:
+    """(path, header): column names of each Parquet export, from its own footer."""
+    paths = _listed(report_catalogue(spark, source_dir, glob) if files is None else files)
+    if not paths:
+        return spark.createDataFrame([], "path string, header array<string>")
+    content = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return content.mapInArrow(_footers, "path string, header array<string>")
+
+
+def scan_parquet_reports(spark: SparkSession, source_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """Raw rows of Parquet exports; every file has its own header, and the file format itself numbers the rows.
+
+    Files with the same header are one scan; there are few headers. Files whose header fits no layout keep no rows.
+    """
+    headers = parquet_headers(spark, source_dir, files).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    scans = []
+    for row in headers:
+        if not any(all(src in {h.strip() for h in row["header"]} for src, dst in columns.items() if dst in REQUIRED_COLUMNS) for columns in LAYOUTS.values()):
+            continue
+        df = spark.read.parquet(*row["paths"])
+        header = F.array(*[F.lit(h.strip()) for h in row["header"]])
+        numbered = df.withColumns({
+            "source_file": _decoded_name(),
+            "source_row": F.col("_metadata.row_index") + 2,
+        })
+        numbered = numbered.withColumn("identity", file_identity(F.col("source_file")))
+        mapped = map_columns(numbered, ["source_file", "source_row", "identity"])
+        scans.append(mapped.select(
+            "source_file", "source_row", "identity.*", layout_of(header).alias("schema_layout"),
+            schema_fingerprint(header).alias("schema_fingerprint"),
+            *[F.col(c) if c in mapped.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS],
+        ))
+    if not scans:
+        names = "source_file string, source_row bigint, facility string, file_month int, file_year int, schema_layout string, schema_fingerprint string, "
+        return spark.createDataFrame([], names + ", ".join(f"{c} string" for c in REPORT_COLUMNS))
+    return reduce(DataFrame.unionByName, scans)

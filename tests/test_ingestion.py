@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curdline.operators import validation
 from curdline.plans.validation import inspect, load_records
-from curdline.schema import LAYOUT_A, LAYOUT_B
+from curdline.schema import LAYOUT_A, LAYOUT_B, PERIOD
 from curdline.sources import reports
 
 A = list(LAYOUT_A)
@@ -162,12 +162,44 @@ def test_unknown_layout_names_its_fingerprint(spark, tmp_path):
         load_records(spark, str(tmp_path / "empty"))
 
 
-def test_parquet_exports(spark, tmp_path):
+def test_parquet_exports_by_their_own_headers(spark, tmp_path):
+    """One folder: layout A with spaces around its names, layout B in another order, too few columns, no period."""
     import pandas as pd
 
-    pd.DataFrame([GOOD, good(serial_no="2", qty="7")], columns=[f" {h} " for h in A]).to_parquet(
-        tmp_path / "Hillside for the month of May 2026.parquet"
-    )
-    rows = validation.accepted(validation.validate(reports.scan_parquet_reports(spark, str(tmp_path)))).orderBy("source_row").collect()
-    assert [(r["facility"], r["file_month"], r["source_row"], r["qty"]) for r in rows] == [
-        ("Hillside", 5, 2, 60.0), ("Hillside", 5, 3, 7.0)]
+    def export(name, columns, rows):
+        pd.DataFrame(rows, columns=columns).to_parquet(tmp_path / f"{name}.parquet")
+
+    export("Hillside for the month of May 2026", [f" {h} " for h in A], [GOOD, good(serial_no="2", qty="7")])
+    order = [dict(zip(LAYOUT_B.values(), LAYOUT_B, strict=True))[c] for c in reversed(LAYOUT_A.values())]
+    export("Lakeview for the month of June 2026", [*order, "Unnamed: 17"], [[*reversed(good(qty="8")), "x"]])
+    export("Moorgate for the month of July 2026", A[:5], [GOOD[:5]])
+    export("no period", A, [GOOD])
+    raw = reports.scan_parquet_reports(spark, str(tmp_path))
+    rows = validation.accepted(validation.validate(raw)).orderBy("facility", "source_row").collect()
+    assert [(r["facility"], r["file_month"], r["source_row"], r["qty"], r["society_name"]) for r in rows] == [
+        ("Hillside", 5, 2, 60.0, "Mill Lane"), ("Hillside", 5, 3, 7.0, "Mill Lane"), ("Lakeview", 6, 2, 8.0, "Mill Lane")]
+    assert {(r["facility"], r["schema_layout"]) for r in raw.collect()} == {("Hillside", "layout_a"), ("Lakeview", "layout_b")}
+    (tmp_path / "empty").mkdir()
+    assert reports.scan_parquet_reports(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_files_of_done_periods_are_never_opened(spark, tmp_path):
+    """A file whose period has a document may even be unreadable; the plan lists the new files only."""
+    from curdline.plans.validation import new_files
+    from curdline.schema import BUNDLE
+    from curdline.sources import tables
+
+    source, state = tmp_path / "reports", str(tmp_path / "state")
+    for month in ("May", "June", "July"):
+        write(source / month, f"Hillside for the month of {month} 2026.csv", A, [GOOD, good(serial_no="2")])
+    tables.upsert(spark, f"{state}/report_bundles", spark.createDataFrame(
+        [("Hillside", 2026, 5, "seed_only", "{}"), ("ALL", 2026, 6, "seed_only", "{}")], BUNDLE), PERIOD)
+    fresh = new_files(spark, str(source), state)
+    assert [r["source_file"] for r in fresh.collect()] == ["Hillside for the month of July 2026.csv"]
+    (source / "May" / "Hillside for the month of May 2026.csv").write_bytes(b"\xff\x00 broken")
+    raw = reports.scan_csv_reports(spark, "", files=fresh)
+    assert {f.rsplit("%20", 2)[-2] for f in raw.inputFiles()} == {"July"}
+    records = load_records(spark, str(source), files=fresh)
+    assert sorted((r["file_month"], r["source_row"]) for r in records.collect()) == [(7, 2), (7, 3)]
+    with pytest.raises(FileNotFoundError):
+        load_records(spark, str(source), files=fresh.where("file_month = 1"))
