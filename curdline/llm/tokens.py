@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable
@@ -13,7 +14,7 @@ import pyarrow as pa
 #: Ends every document.
 END_ID = 2
 #: Chunks a worker remembers; when there are more it forgets all and goes on, so this bounds memory, not results.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 1_300_000
 
 # Byte-level BPE first cuts a text into words, numbers, marks and white space; a single space belongs to what follows
 # it. So some places are always cut, and what lies between them can be encoded on its own: around a line break that
@@ -100,27 +101,40 @@ class Encoder:
             self.known.clear()
             self.odd.clear()
         get = self.known.get
-        out: list = []  # of a text its ids, or its chunks
+        out: list = []  # of a text its ids, or those of its chunks
+        open_: list[tuple[int, list[str], list[int]]] = []  # texts with chunks that are not known: their places
         missing: list[str] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif any(a in text for a in self.added):
-                out.append(self._ids([text])[0])
-            elif _plainly_spaced(text):
-                chunks = ("\n" + text.replace("\n", " \n")).split(" ")
-                ids = list(map(get, chunks))
-                if None in ids:
-                    missing += [c for c, i in zip(chunks, ids, strict=True) if i is None]
-                    out.append(chunks)
+        collecting = gc.isenabled()
+        gc.disable()  # the lists below are many and short-lived
+        try:
+            for text in texts:
+                if not text:
+                    out.append(b"")
+                elif any(a in text for a in self.added):
+                    out.append(self._ids([text])[0])
+                elif _plainly_spaced(text):
+                    chunks = ("\n" + text.replace("\n", " \n")).split(" ")
+                    ids = list(map(get, chunks))
+                    if None in ids:
+                        places = [i for i, x in enumerate(ids) if x is None]
+                        missing += [chunks[i] for i in places]
+                        open_.append((len(out), chunks, places))
+                        out.append(ids)
+                    else:
+                        out.append(b"".join(ids)[4:])  # the first chunk's line break is not the text's
                 else:
-                    out.append(b"".join(ids)[4:])
-            else:
-                out.append(self._oddly_spaced(text))
-        self._learn(missing)
-        get = self.known.__getitem__
-        # the first chunk's line break is not the text's
-        return [(x if isinstance(x, bytes) else b"".join(map(get, x))[4:]) + self.end for x in out]
+                    out.append(self._oddly_spaced(text))
+            self._learn(missing)
+            known = self.known
+            for at, chunks, places in open_:
+                ids = out[at]
+                for i in places:
+                    ids[i] = known[chunks[i]]
+                out[at] = b"".join(ids)[4:]
+        finally:
+            if collecting:
+                gc.enable()
+        return [x + self.end for x in out]
 
 
 @lru_cache(maxsize=2)
