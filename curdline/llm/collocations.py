@@ -210,7 +210,8 @@ def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count:
             at, hashes = _phrases(ids, k, shipped.value, factor)
             hashes, example, counts = np.unique(hashes, return_index=True, return_counts=True)
             words = [ids[at[example] + j] for j in range(k - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, counts, *words)], names=["h", "most", *first])
+            order = np.lexsort(words[::-1])  # equal words side by side shrink in the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (hashes, counts, *words)], names=["h", "most", *first])
 
     def last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last word follows from the others and the hash."""
@@ -234,6 +235,8 @@ def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
     spark, slab = texts.sparkSession, SLAB
     words = [f"w{i}" for i in range(1, k + 1)]
     order = Window.partitionBy("part").orderBy(*words)
+    # one shard for each core: the shards' sums are as many as cores times candidates, however long the texts
+    shards = texts.coalesce(spark.sparkContext.defaultParallelism)
     numbered = materialized(found.withColumn("number", F.row_number().over(order) - 1), f"numbered_{k}")
     counted = None
     for part in range((numbered.agg(F.max("part")).first()[0] or 0) + 1):
@@ -249,7 +252,7 @@ def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
             number = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(total[number])], names=["number", "n"])
 
-        sums = texts.mapInArrow(shard, "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
+        sums = shards.mapInArrow(shard, "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
         rows = materialized(own.join(sums, "number").select(*words, "most", "n"), f"counts_{k}")
         shipped.unpersist()
         counted = rows if counted is None else counted.union(rows)
