@@ -1,8 +1,7 @@
 """Phrases whose words belong together: frequent phrases of 2 to 4 words, scored by exact counts.
 
 1. *Words.* Texts are cut into pieces and words; Spark counts the words of every language. A word's id is a 63-bit hash
-   seeded by its language; if two words of a language of which one is frequent share an id, all ids are made anew from
-   another seed. So ids stand for words exactly.
+   seeded by its language; if two words share the id of a frequent one, all ids are made anew from another seed. So ids stand for words exactly.
 2. *Ids.* Each text becomes an array of ids, 0 standing between pieces and for words that are too rare to be in any
    candidate. The arrays are written once; all later passes read only them.
 3. *Candidates* of length k, level by level. A phrase is a candidate if both its phrases of k-1 words are frequent, and
@@ -79,8 +78,8 @@ def _texts(documents: DataFrame) -> DataFrame:
     ))
 
 
-def word_counts(documents: DataFrame, seed: int = 0) -> DataFrame:
-    """(lang, word, id, n) of every word of a language."""
+def word_counts(documents: DataFrame) -> DataFrame:
+    """(lang, word, n) of every word of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -91,8 +90,8 @@ def word_counts(documents: DataFrame, seed: int = 0) -> DataFrame:
                     found.pop(bytes([mark]), None)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(found), pa.string()), pa.array([w.decode() for w in found], pa.string()),
-                    pa.array([word_id(w, lang, seed) for w in found], pa.int64()), pa.array(list(found.values()), pa.int64()),
-                ], names=["lang", "word", "id", "n"])
+                    pa.array(list(found.values()), pa.int64()),
+                ], names=["lang", "word", "n"])
             counts.clear()
 
         for lang, tokens in _tokens(batches):
@@ -101,8 +100,21 @@ def word_counts(documents: DataFrame, seed: int = 0) -> DataFrame:
                 yield from partial()
         yield from partial()
 
-    partial_counts = _texts(documents).mapInArrow(run, "lang string, word string, id bigint, n bigint")
-    return partial_counts.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    return _texts(documents).mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def with_ids(words: DataFrame, seed: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(lang, word, id, n); with a bitmap only words whose id it may hold."""
+    shipped = words.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, names = batch.column("lang").to_pylist(), batch.column("word").cast(pa.binary()).to_pylist()
+            ids = np.array([word_id(w, lang, seed) for lang, w in zip(langs, names, strict=True)], np.int64)
+            out = pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), pa.array(ids), batch.column("n")], names=["lang", "word", "id", "n"])
+            yield out if shipped.value is None else out.filter(pa.array(_has(shipped.value, ids)))
+
+    return words.mapInArrow(run, "lang string, word string, id bigint, n bigint")
 
 
 def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -134,9 +146,9 @@ class _Known(dict):
         return number
 
 
-def id_arrays(documents: DataFrame, frequent: DataFrame, seed: int) -> DataFrame:
-    """(ids): of each text 0, then the ids of its words, 0 between pieces."""
-    shipped = documents.sparkSession.sparkContext.broadcast(_bitmap(frequent, "id"))
+def id_arrays(documents: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
+    """(ids): of each text 0, then the ids of its words, 0 between pieces and for words not in the bitmap."""
+    shipped = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Known] = {}
@@ -199,35 +211,43 @@ def _phrases(ids: np.ndarray, k: int, shorter: np.ndarray | None, factor: int) -
     return at, _hashes([ids[at + j] for j in range(k)], factor)
 
 
-def candidates(texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int, factor: int) -> DataFrame:
-    """(w1 .. wk, most, part): phrases of k words whose bucket holds ``most`` occurrences, min_count or more."""
+def candidates(
+    texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int, factor: int, word_ids: DataFrame
+) -> DataFrame:
+    """(w1 .. wk, most, part): phrases of k words whose bucket holds ``most`` occurrences, min_count or more.
+
+    Buckets hand on half of each word's id but the last's, which keeps the shuffle small; ``word_ids`` (id), the frequent
+    words, complete them. Words that share a half give candidates more, which no text holds.
+    """
     spark, slab = texts.sparkSession, SLAB
     shipped = spark.sparkContext.broadcast(shorter)
-    first = [f"w{i}" for i in range(1, k)]
+    words = [f"w{i}" for i in range(1, k + 1)]
+    halves = [f"half{i}" for i in range(1, k)]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _slabs(batches, slab):
             at, hashes = _phrases(ids, k, shipped.value, factor)
             hashes, example, counts = np.unique(hashes, return_index=True, return_counts=True)
-            words = [ids[at[example] + j] for j in range(k - 1)]
-            order = np.lexsort(words[::-1])  # equal words side by side shrink in the shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (hashes, counts, *words)], names=["h", "most", *first])
+            own = [ids[at[example] + j].astype(np.int32) for j in range(k - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, counts, *own)], names=["h", "most", *halves])
 
     def last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last word follows from the others and the hash."""
         for batch in batches:
-            words = [batch.column(w).to_numpy() for w in first]
-            before = _hashes(words, factor).view(np.uint64) * np.uint64(factor)
+            first = [batch.column(w).to_numpy() for w in words[:-1]]
+            before = _hashes(first, factor).view(np.uint64) * np.uint64(factor)
             last = _unmixed(batch.column("h").to_numpy().view(np.uint64)) - before
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*words, last.view(np.int64))] + [batch.column("most")], names=[*first, f"w{k}", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*first, last.view(np.int64))] + [batch.column("most")], names=[*words, "most"])
 
-    found = texts.mapInArrow(buckets, ", ".join(f"{c} bigint" for c in ["h", "most", *first]))
+    found = texts.mapInArrow(buckets, ", ".join(["h bigint", "most bigint", *(f"{c} int" for c in halves)]))
     # nearly all rows of a task are distinct, so they are dealt first and added up once
-    heavy = found.repartition("h").groupBy("h").agg(F.sum("most").alias("most"), *[F.first(w).alias(w) for w in first])
-    heavy = heavy.where(F.col("most") >= min_count)
-    kept = materialized(heavy.mapInArrow(last_words, ", ".join(f"{c} bigint" for c in [*first, f"w{k}", "most"])), f"candidates_{k}")
+    heavy = found.repartition("h").groupBy("h").agg(F.sum("most").alias("most"), *[F.first(c).alias(c) for c in halves])
+    heavy = materialized(heavy.where(F.col("most") >= min_count), f"heavy_{k}")
+    for word, half in zip(words, halves, strict=False):
+        heavy = heavy.join(word_ids.select(F.col("id").alias(word), F.expr("CAST(shiftright(shiftleft(id, 32), 32) AS INT)").alias(half)), half)
+    kept = materialized(heavy.select("h", "most", *words[:-1]).mapInArrow(last_words, ", ".join(f"{c} bigint" for c in [*words, "most"])), f"candidates_{k}")
     parts = max(-(-kept.count() // part), 1)
-    return kept.withColumn("part", F.expr(f"CAST(pmod(xxhash64({', '.join(first)}, w{k}), {parts}) AS INT)"))
+    return kept.withColumn("part", F.expr(f"CAST(pmod(xxhash64({', '.join(words)}), {parts}) AS INT)"))
 
 
 def trie_counts(texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -270,32 +290,30 @@ def _with_hash(phrases: DataFrame, k: int) -> DataFrame:
     return phrases.select(*words).mapInArrow(run, "h bigint")
 
 
-def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """All words (lang, word, id, n), and all frequent words and phrases (words array<bigint>, f)."""
+def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words per language (lang, n), frequent words (lang, word, id, n), all frequent words and phrases (words array<bigint>, f)."""
+    words = materialized(word_counts(documents), "words")
     seed = 0
     while True:
-        words = materialized(word_counts(documents, seed), "words")
-        shared = words.groupBy("lang", "id").agg(F.count("*").alias("words"), F.max("n").alias("n"))
-        shared = shared.unionByName(  # ids that two languages' frequent words share would mix their phrases
-            words.where(F.col("n") >= min_count).groupBy("id").agg(F.count("*").alias("words"), F.max("n").alias("n")).withColumn("lang", F.lit(""))
-        )
-        if shared.where((F.col("words") > 1) & (F.col("n") >= min_count)).isEmpty():
+        frequent = materialized(with_ids(words.where(F.col("n") >= min_count), seed), "frequent_words")
+        bitmap = _bitmap(frequent, "id")
+        held = with_ids(words, seed, bitmap)  # the frequent words, and few others
+        if held.groupBy("id").count().where("count > 1").isEmpty():
             break
         seed += 1
-    frequent = words.where(F.col("n") >= min_count)
-    texts = materialized(id_arrays(documents, frequent, seed), "word_ids")
+    texts = materialized(id_arrays(documents, bitmap, seed), "word_ids")
     found = frequent.select(F.array("id").alias("words"), F.col("n").alias("f"))
     shorter = None
     for k in range(2, longest + 1):
         factor = _FACTOR
         while True:
-            counted = trie_counts(texts, candidates(texts, k, shorter, min_count, part, factor), k)
+            counted = trie_counts(texts, candidates(texts, k, shorter, min_count, part, factor, frequent), k)
             if counted.where("n < most").isEmpty():
                 break
             factor += 2  # odd, like the first
         found = found.union(counted.select(F.array(*[f"w{i}" for i in range(1, k + 1)]).alias("words"), F.col("n").alias("f")))
         shorter = _bitmap(_with_hash(counted, k), "h")
-    return words, materialized(found, "frequent_phrases")
+    return words.groupBy("lang").agg(F.sum("n").alias("n")), frequent, materialized(found, "frequent_phrases")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -323,9 +341,8 @@ def collocations(
     documents: DataFrame, min_count: int = MIN_COUNT, ranks: int = RANKS, part: int = PART
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases."""
-    words, phrases = frequent_phrases(documents, min_count, LONGEST, part)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    names = words.where(F.col("n") >= min_count).select("id", "lang", "word")
+    totals, frequent, phrases = frequent_phrases(documents, min_count, LONGEST, part)
+    names = frequent.select("id", "lang", "word")
     spelt = (
         scored(phrases).select("*", F.posexplode("words").alias("place", "id"))
         .join(names, "id").groupBy("words", "a", "l", "r", "score", "lang")

@@ -83,20 +83,20 @@ def test_shared_ids_are_made_anew(spark, monkeypatch):
         return real(word[:1] if seed == 0 else word, lang, seed)
 
     monkeypatch.setattr(op, "word_id", clashing)
-    counts = op.word_counts
-    monkeypatch.setattr(op, "word_counts", lambda d, seed=0: (seen.append(seed), counts(d, seed))[1])
+    ids = op.with_ids
+    monkeypatch.setattr(op, "with_ids", lambda words, seed, *more: (seen.append(seed), ids(words, seed, *more))[1])
     rows = corpus()[:80]
     ours = sorted(map(tuple, op.collocations(frame(spark, rows), min_count=6, ranks=30).collect()))
-    assert seen == [0, 1] and ours == brute_force(rows, 6, 30)
+    assert seen == [0, 0, 1, 1] and ours == brute_force(rows, 6, 30)
 
 
 def test_shared_buckets_are_made_anew(spark, monkeypatch):
     """Hashes of which most phrases share one: a level whose buckets hold more than their phrase is repeated."""
     real, factors = op.candidates, []
 
-    def sharing(texts, k, shorter, min_count, part, factor):
+    def sharing(texts, k, shorter, min_count, part, factor, word_ids):
         factors.append((k, factor))
-        return real(texts, k, shorter, min_count, part, 0 if k == 2 and len(factors) == 1 else factor)
+        return real(texts, k, shorter, min_count, part, 0 if k == 2 and len(factors) == 1 else factor, word_ids)
 
     monkeypatch.setattr(op, "candidates", sharing)
     rows = corpus()[:80]
