@@ -58,6 +58,11 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powe
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of values[start:end] for each range, the values being hashes themselves."""
+    return _range_hashes(values, starts, ends, _WORD_POWERS)
+
+
 def _byte_class(of_word, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     is_word = np.array([of_word(b) for b in range(256)])
     values = _BYTE_VALUES.copy()

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
+
+import pyarrow as pa
 
 from curdline.llm import decontamination as op
 from tests.llm.helpers import DOCUMENTS, docs, prose
@@ -76,13 +79,45 @@ def test_equals_brute_force(spark):
     assert all(abs(r.coverage - r.covered / r.item_words) < 1e-12 for r in found)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    rows, items = corpus()
-    benchmark = spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
-    whole = sorted(map(str, op.contained_items(docs(spark, rows), benchmark).collect()))
-    monkeypatch.setattr(op, "BLOCK_WORDS", 300)
-    assert len(list(op._blocks(benchmark))) > 2
-    assert sorted(map(str, op.contained_items(docs(spark, rows), benchmark).collect())) == whole
+def test_seeds_shared_by_many_items(spark):
+    """A passage that all items begin or end with; items that consist of it are found by it."""
+    common = prose(1, 20)
+    items = [(j, f"{common} {prose(100 + j, 25)}") for j in range(30)] + [(40, common), (41, common), (42, f"{common} more")]
+    rows = [(1, common), (2, f"{prose(50, 9)} {common} {prose(107, 25)}"), (3, prose(112, 25)), (4, prose(60, 80))]
+    found = op.contained_items(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {tuple(r)[:5] for r in found} == brute_force(rows, items)
+    rare = op.rare_seeds(op.item_seeds(spark.createDataFrame(items, "item_id bigint, text string")))
+    assert rare.groupBy("seed").count().agg({"count": "max"}).first()[0] <= 2  # of 32 items with the passage
+
+
+def test_repetitive_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    items = [(j, " ".join(rng.choice("ab") for _ in range(rng.randrange(3, 30)))) for j in range(12)]
+    rows = [(i, " ".join(rng.choice("aab") for _ in range(rng.randrange(0, 60)))) for i in range(25)]
+    found = op.contained_items(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {tuple(r)[:5] for r in found} == brute_force(rows, items)
+
+
+def seeds(text, least):
+    """Places and hashes of all runs of ``least`` words."""
+    held = op.words_of(pa.array([text]), op.PLAIN)
+    return held.runs(least)
+
+
+def test_one_word_repeated_is_cheap():
+    place, doc = seeds("again " * 20_000, 5)
+    begin = time.perf_counter()
+    assert op.tiling(place, doc, seeds("again " * 400, 5)[1], 5) == [(0, 0, 400)]
+    assert time.perf_counter() - begin < 1
+
+
+def test_tiling_equals_brute_force_in_order():
+    rng = random.Random(5)
+    for _ in range(150):
+        letters = "abc"[: rng.randrange(1, 4)]
+        doc, item = ([rng.choice(letters) for _ in range(rng.randrange(5, 40))] for _ in range(2))
+        at, hashes = seeds(" ".join(doc), 5)
+        assert op.tiling(at, hashes, seeds(" ".join(item), 5)[1], 5) == brute_tiles(doc, item, 5)
 
 
 def test_clean_documents_stay(spark):
@@ -104,6 +139,5 @@ def test_empty(spark):
 
 
 def test_tiles_do_not_overlap():
-    seeds = [(d, i) for d in range(30) for i in range(10)]  # one word repeated in both
-    tiles = op.tiling(seeds, 5)
-    assert tiles == [(0, 0, 14)]
+    place, doc = seeds("one " * 34, 5)  # one word repeated in both
+    assert op.tiling(place, doc, seeds("one " * 14, 5)[1], 5) == [(0, 0, 14)]
