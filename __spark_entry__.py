@@ -381,12 +381,9 @@ def q_review_cases(spark, sf_dir):
 
 
 def q_case_list(spark, sf_dir):
-    """The listing with its place; the rank over the whole list exists only to compare the order."""
-    listed = cases.list_cases(cases.review_cases(derived(spark, sf_dir).report))
-    order = [F.desc("file_year"), F.desc("file_month"), cases.priority_rank(F.col("priority")), F.col("case_id")]
-    return listed.select(
-        "case_id", F.row_number().over(bl.Window.orderBy(*order)).cast("bigint").alias("place")
-    ).orderBy("place")
+    """The listing with the place of each case."""
+    found = cases.review_cases(derived(spark, sf_dir).report)
+    return cases.numbered(cases.list_cases(found).select("case_id"))
 
 
 def _updates(all_cases: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curdline.functions.expressions import plain_number, printed_date, priority_rank
 from curdline.operators.merge import distinct_by, keyed_merge
 from curdline.schema import CASE_STATUSES, NEXT_STEP, REVIEW_CASE
+from curdline.sources.tables import materialized
 
 
 def review_cases(report: DataFrame) -> DataFrame:
@@ -43,6 +44,28 @@ def list_cases(cases: DataFrame, status: str | None = None) -> DataFrame:
     )
 
 
+def numbered(listed: DataFrame, name: str = "place") -> DataFrame:
+    """An ordered frame with the place of each row, from 1, without bringing the rows to one task.
+
+    The sort leaves the rows in ranges, one for each partition. Rows are numbered inside their range and stored; the
+    sizes of the ranges, one number for each partition, are summed up and added. Empty frame: no row.
+    """
+    within = (1 << 33) - 1  # Spark's row ids: the partition above 33 bits, the place in it below
+    ranges = materialized(listed.withColumn(name, F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright(F.col(name), 33)
+    before, total = [], 0
+    for r in ranges.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect():
+        before.append((r["part"], total + 1))
+        total += r["rows"]
+    starts = F.create_map(*[F.lit(x).cast("bigint") for pair in before for x in pair]) if before else F.lit(None).cast("map<bigint,bigint>")
+    return ranges.withColumn(name, F.element_at(starts, part) + F.col(name).bitwiseAND(F.lit(within)))
+
+
+def case_page(cases: DataFrame, first: int, last: int, status: str | None = None) -> DataFrame:
+    """The cases at places ``first`` to ``last`` of the listing."""
+    return numbered(list_cases(cases, status)).where(F.col("place").between(first, last))
+
+
 def apply_dispositions(cases: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply (case_id, status, disposition, confirmation_reference) updates.
 

@@ -191,3 +191,22 @@ def test_batches_hold_one_month(records):
     with pytest.raises(ValueError, match="same month"):
         merge.single_period(records([{"file_month": 4}, {"file_month": 5}]))
     assert merge.single_period(records([{}, {}])) == (2025, 6)
+
+
+def test_listing_numbered_over_many_ranges(spark, flags):
+    """Places follow the listing over several partitions, and no plan brings the rows to one task."""
+    given = [{"serial_no": n, "file_month": 1 + n % 5, "confidence": ["RESAMPLE", "REVIEW", "MONITOR"][n % 3]} for n in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = cases.review_cases(flags(given)).cache()
+        listed = cases.numbered(cases.list_cases(made))
+        got = listed.collect()
+        assert listed.rdd.getNumPartitions() > 1 and "Window" not in listed._jdf.queryExecution().toString()
+        rank = {"RESAMPLE": 1, "REVIEW": 2, "MONITOR": 3}
+        wanted = sorted(made.collect(), key=lambda r: (-r["file_year"], -r["file_month"], rank[r["priority"]], r["case_id"]))
+        assert {r["case_id"]: r["place"] for r in got} == {r["case_id"]: n for n, r in enumerate(wanted, 1)}
+        page = cases.case_page(made, 41, 60).collect()
+        assert {r["case_id"] for r in page} == {r["case_id"] for r in wanted[40:60]}
+        assert cases.numbered(cases.list_cases(made, "DISMISSED")).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
