@@ -2,7 +2,9 @@
 
 A text is cut into sentences at marks that end one and at blank lines. A sentence is normalised (ASCII letters,
 digits and +, lower case, single spaces) and looked up among the known ones; if it is none, each of its lines is, as
-a notice may follow a line without a full stop. What is found, in order, is the document's identifier sequence.
+a notice may follow a line without a full stop. A copyright line counts by its first and last words, whatever names
+and years stand between. A wording that has a mark inside is known by its parts, each a sentence: the part that
+names the version decides, not the part before it. What is found, in order, is the document's identifier sequence.
 Rules are tried in their order, longer ones first: one matches where its identifiers follow each other in the
 sequence, with no other identifier between, and uses them up, so the sentences of a full licence text do not count
 again for a short notice.
@@ -39,13 +41,37 @@ SENTENCES = (
     ("apache_copy", "You may obtain a copy of the License at"),
     ("gpl3_notice", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl3_notice", "Licensed under the GNU General Public License, version 3."),
-    ("gpl_free", "This program is free software:"),
+    ("gpl_free", "This program is free software;"),
     ("gpl3_later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
      "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl2_later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-     "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+     "by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("gpl_terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+     "by the Free Software Foundation;"),
+    ("agpl_terms", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+     "by the Free Software Foundation;"),
+    ("agpl3_later", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("library_free", "This library is free software;"),
+    ("lgpl_terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+     "by the Free Software Foundation;"),
+    ("version2_later", "either version 2 of the License, or (at your option) any later version."),
+    ("version2_1_later", "either version 2.1 of the License, or (at your option) any later version."),
+    ("version3_later", "either version 3 of the License, or (at your option) any later version."),
+    ("mpl2_terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("isc_grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib_grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+     "and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("bsd_grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
      "that the following conditions are met:"),
+    ("bsd_source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+     "following disclaimer."),
+    ("bsd_binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+     "following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd_names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission."),
     ("bsd_notice", "Licensed under the BSD License."),
     ("cc_by_nc_notice", "Licensed under CC BY-NC 4.0."),
     ("cc_by_nc_notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -62,8 +88,20 @@ RULES = (
     ("Apache-2.0", ("apache_header", "apache_comply", "apache_copy")),
     ("Apache-2.0", ("apache_header", "apache_comply")),
     ("GPL-3.0-or-later", ("gpl_free", "gpl3_later")),
+    ("GPL-3.0-or-later", ("gpl_free", "gpl_terms", "version3_later")),
     ("GPL-2.0-or-later", ("gpl_free", "gpl2_later")),
+    ("GPL-2.0-or-later", ("gpl_free", "gpl_terms", "version2_later")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl3_later")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl_terms", "version3_later")),
+    ("LGPL-2.1-or-later", ("library_free", "lgpl_terms", "version2_1_later")),
+    ("LGPL-3.0-or-later", ("library_free", "lgpl_terms", "version3_later")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("BSD", ("bsd_grant",)),
+    ("MPL-2.0", ("mpl2_terms",)),
+    ("ISC", ("isc_grant",)),
+    ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib_grant",)),
     ("MIT", ("mit_notice",)),
     ("Apache-2.0", ("apache_notice",)),
     ("GPL-3.0", ("gpl3_notice",)),
@@ -73,6 +111,8 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc_by_sa_notice",)),
     ("proprietary", ("all_rights",)),
 )
+# First and last words of a normalised copyright line, whose years and names vary, and its identifier.
+COPYRIGHT_LINE = ("copyright ", " all rights reserved", "all_rights")
 # a mark before white space, or a blank line, ends a sentence
 ENDS = r"([.!?:;])[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 NOT_KEPT = "[^A-Za-z0-9+]+"
@@ -89,27 +129,36 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normal form to identifier; cut at the inner marks that end a sentence, the first part carrying the identifier."""
+    """Normal form to identifier. A wording that the marks would cut is an error: its parts are sentences of their own."""
     import re
 
-    found = {}
     for name, text in SENTENCES:
-        found[plain(re.split(ENDS, text)[0])] = name
-    return found
+        if re.search(ENDS, text):
+            raise ValueError(f"a mark cuts the wording of {name}: {text}")
+    return {plain(text): name for name, text in SENTENCES}
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
+    first, last, line_name = map(F.lit, COPYRIGHT_LINE)
     # \x01 ends a sentence; a text that holds one itself is cut there, too
     sentences = F.split(F.regexp_replace(text, ENDS, "$1\x01"), "\x01")
 
+    def known(words: Column) -> Column:
+        def of_normal(x: Column) -> Column:
+            return F.coalesce(F.element_at(table, x), F.when(F.startswith(x, first) & F.endswith(x, last), line_name))
+
+        return F.get(F.transform(F.array(normalised(words)), of_normal), 0)
+
     def of_sentence(s: Column) -> Column:
-        whole = F.element_at(table, normalised(s))
-        lines = F.filter(F.transform(F.split(s, "\n"), lambda line: F.element_at(table, normalised(line))), lambda x: x.isNotNull())
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+        lines = F.filter(F.transform(F.split(s, "\n"), known), lambda x: x.isNotNull())
+        # a sentence of one line that is not known has no other line to look up
+        whole = F.array_compact(F.array(known(s)))
+        return F.when(F.contains(s, F.lit("\n")), F.get(F.filter(F.array(whole, lines), lambda x: F.size(x) > 0), 0)).otherwise(whole)
 
-    return F.flatten(F.transform(sentences, of_sentence))
+    found = F.transform(sentences, of_sentence)
+    return F.flatten(F.filter(found, lambda x: x.isNotNull()))
 
 
 def matched(sequence: Column) -> tuple[list[Column], Column]:

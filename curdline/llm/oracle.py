@@ -24,12 +24,13 @@ FROM e GROUP BY conv_id
 
 def licences_sql() -> str:
     """The licence scan, from the same fixed sentences and rules."""
-    from curdline.llm.licenses import ENDS, NOT_KEPT, RULES, known_sentences
+    from curdline.llm.licenses import COPYRIGHT_LINE, ENDS, NOT_KEPT, RULES, known_sentences
 
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     table = ", ".join(f"({text(s)}, {text(i)})" for s, i in known_sentences().items())
+    begin, end, line_name = map(text, COPYRIGHT_LINE)
     steps, last = [], "ids"
     for k, (_, rule) in enumerate(RULES):
         wanted = text("".join(f"<{i}>" for i in rule))
@@ -47,13 +48,17 @@ WITH known(sentence, id) AS (VALUES {table}),
 cut AS (SELECT row_number() OVER () AS r, doc_id,
   string_split(regexp_replace(coalesce(text, ''), {text(ENDS)}, '\\1' || chr(1), 'g'), chr(1)) AS sentences FROM documents),
 s AS (SELECT r, doc_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS i FROM cut),
-w AS (SELECT s.*, known.id FROM s LEFT JOIN known ON sentence = trim(lower(regexp_replace(s, {text(NOT_KEPT)}, ' ', 'g')))),
+n AS (SELECT s.*, trim(lower(regexp_replace(s, {text(NOT_KEPT)}, ' ', 'g'))) AS normal FROM s),
+w AS (SELECT n.*, coalesce(known.id, CASE WHEN starts_with(normal, {begin}) AND ends_with(normal, {end}) THEN {line_name} END) AS id
+  FROM n LEFT JOIN known ON sentence = normal),
 lines AS (SELECT r, doc_id, i, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS j
   FROM w WHERE id IS NULL),
+l AS (SELECT lines.*, trim(lower(regexp_replace(line, {text(NOT_KEPT)}, ' ', 'g'))) AS normal FROM lines),
 hits AS (
   SELECT r, doc_id, i, 0 AS j, id FROM w WHERE id IS NOT NULL
-  UNION ALL SELECT r, doc_id, i, j, known.id FROM lines JOIN known
-    ON sentence = trim(lower(regexp_replace(line, {text(NOT_KEPT)}, ' ', 'g')))),
+  UNION ALL SELECT r, doc_id, i, j, known.id FROM l JOIN known ON sentence = normal
+  UNION ALL SELECT r, doc_id, i, j, {line_name} FROM l
+    WHERE starts_with(normal, {begin}) AND ends_with(normal, {end}) AND normal NOT IN (SELECT sentence FROM known)),
 ids AS (SELECT r, doc_id, string_agg(id, ' ' ORDER BY i, j) AS sentences, string_agg('<' || id || '>', '' ORDER BY i, j) AS s0
   FROM hits GROUP BY r, doc_id),
 {", ".join(steps)}
