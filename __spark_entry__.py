@@ -99,7 +99,7 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Classified flags of all facilities and periods, from records to explanation in one lazy plan."""
+    """Classified flags of all facilities and periods, from records to explanation."""
     return rounded(screening.screen(fixtures.records(spark, SMOKE_DIR)))
 
 

@@ -32,15 +32,19 @@ from curdline.sources import tables
 
 
 def score(records: DataFrame, baselines: DataFrame) -> DataFrame:
-    """All flags with category, explanation, adjusted priority and shared-event mark."""
-    fired = rules.apply_rules(records, baselines)
+    """All flags with category, explanation, adjusted priority and shared-event mark.
+
+    The records that a rule marks are stored first: the shared events need all of them before the first can be
+    written, and a plan that read them twice would score every record twice.
+    """
+    fired = tables.materialized(rules.apply_rules(records, baselines), "fired")
     marked = shared_events.mark_shared_events(fired, records)
     explained = rules.explain(rules.diagnose(marked))
     return shared_events.ordered_flags(rules.adjust_priority(explained))
 
 
 def screen(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Flags of all periods of ``records``, from raw records in one plan."""
+    """Flags of all periods of ``records``, from raw records; they are scored once and stored, the rest is one plan."""
     stats = month_stats(records)
     known = stats if history is None else merge.keyed_merge(history, stats, MONTH_KEYS)
     return score(records, baselines_by_period(known, records.select("file_year", "file_month").distinct()))
