@@ -497,14 +497,27 @@ def _report_folder(spark, sf_dir, kind):
     return folder
 
 
-def _over_many_splits(spark, make):
-    """A plan made while files are cut into splits of 16 KB, so that most files have several."""
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 14))
+#: Bytes of report text that one task reads where its files are cut into many splits.
+_TASK_BYTES = 32 << 20
+
+
+def _over_many_splits(spark, folder, make):
+    """A plan made while files are cut into splits of 16 KB, so that most files have several.
+
+    Spark packs the splits into tasks of ``_TASK_BYTES``, at least two for each core: a task for each split would be
+    as many tasks and stored files as splits.
+    """
+    size = reports.report_catalogue(spark, folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
+    wanted = {"spark.sql.files.maxPartitionBytes": str(1 << 14), "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return tables.materialized(make(), "scanned")
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 _SCANNED = ["source_file", "source_row", "facility", "file_year", "file_month", "schema_layout", *REPORT_COLUMNS]
@@ -512,12 +525,12 @@ _SCANNED = ["source_file", "source_row", "facility", "file_year", "file_month",
 
 def q_scanned_reports(spark, sf_dir):
     folder = _report_folder(spark, sf_dir, "csv")
-    return _over_many_splits(spark, lambda: reports.scan_csv_reports(spark, folder).select(*_SCANNED))
+    return _over_many_splits(spark, folder, lambda: reports.scan_csv_reports(spark, folder).select(*_SCANNED))
 
 
 def q_row_numbers(spark, sf_dir):
     folder = _report_folder(spark, sf_dir, "csv")
-    rows = _over_many_splits(spark, lambda: reports.scan_csv_reports(spark, folder).select("source_file", "source_row"))
+    rows = _over_many_splits(spark, folder, lambda: reports.scan_csv_reports(spark, folder).select("source_file", "source_row"))
     return rows.groupBy("source_file").agg(
         F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"), F.countDistinct("source_row").alias("rows")
     )
