@@ -115,34 +115,33 @@ def _numbered_lines(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, D
             _decoded_name().alias("source_file"),
             F.monotonically_increasing_id().alias("line_id"),
         )
+    # only the start of a file can hold its header; other splits are counted without their text
     splits = lines.groupBy("path", "block_start", "source_file").agg(
         F.min("line_id").alias("first_id"), F.count(F.lit(1)).alias("lines"),
-        F.min_by("value", "line_id").alias("first_line"),
+        F.min_by(F.when(F.col("block_start") == 0, F.col("value")), "line_id").alias("header_line"),
     )
     return lines, splits, sum(r["splits"] for r in listed)
 
 
 def _files_with_offsets(splits: DataFrame) -> DataFrame:
+    """Each split with the lines before it and what its file's name and header say, which is read once for each file."""
     in_file = Window.partitionBy("path").orderBy("block_start")
     header = csv_cells(F.regexp_replace(F.col("header_line"), "^﻿", ""))
-    identified = (
-        splits.withColumns({
-            "lines_before": F.coalesce(
-                F.sum("lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            "header_line": F.first("first_line").over(in_file),
-        })
-        .withColumn("header", F.transform(header, lambda c: F.coalesce(c, F.lit(""))))
-        .withColumns({
-            "identity": file_identity(F.col("source_file")),
-            "schema_layout": layout_of(F.col("header")),
-            "schema_fingerprint": schema_fingerprint(F.col("header")),
-        })
-    )
-    return identified.withColumn(
+    told = splits.withColumn("header", F.transform(header, lambda c: F.coalesce(c, F.lit("")))).withColumns({
+        "identity": F.when(F.col("header").isNotNull(), file_identity(F.col("source_file"))),
+        "schema_layout": layout_of(F.col("header")),
+        "schema_fingerprint": schema_fingerprint(F.col("header")),
+    })
+    told = told.withColumn(
         "positions",
         F.struct(*[_cell_position(F.col("header"), F.col("schema_layout"), c).alias(c) for c in REPORT_COLUMNS]),
     )
+    file = F.struct("identity", "schema_layout", "schema_fingerprint", "positions")
+    return told.select(
+        "path", "block_start", "source_file", "first_id",
+        F.coalesce(F.sum("lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_before"),
+        F.first(file).over(in_file).alias("file"),
+    ).select("*", "file.*").drop("file")
 
 
 def report_files(spark: SparkSession, source_dir: str, glob: str = "*.csv") -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from curdline.operators import validation
 from curdline.plans.validation import inspect, load_records
 from curdline.schema import LAYOUT_A, LAYOUT_B, PERIOD
@@ -98,6 +99,23 @@ def test_row_numbers_over_many_splits(spark, tmp_path):
     assert all(int(r["serial_no"]) == r["source_row"] for r in rows)
 
 
+def test_many_splits_are_few_tasks(spark, tmp_path):
+    """Splits of 16 KB share tasks: the stored rows are as few files, and each row keeps its number."""
+    numbers = [str(i) for i in range(8_000)]
+    write(tmp_path, "Hillside month of April 2026.csv", A, [good(serial_no=i) for i in numbers])
+    write(tmp_path, "Lakeview month of May 2026.csv", A, [good(serial_no=i) for i in numbers[:10]])
+    before = [spark.conf.get(f"spark.sql.files.{c}", None) for c in ("maxPartitionBytes", "maxPartitionNum")]
+    stored = entry._over_many_splits(
+        spark, str(tmp_path), lambda: reports.scan_csv_reports(spark, str(tmp_path)).select("facility", "source_row", "serial_no", "rate")
+    )
+    assert (tmp_path / "Hillside month of April 2026.csv").stat().st_size > 24 * (1 << 14)
+    assert len(stored.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    found = {(r["facility"], r["source_row"]): (r["serial_no"], r["rate"]) for r in stored.collect()}
+    rate = GOOD[list(LAYOUT_A.values()).index("rate")]
+    assert found == {(f, i + 2): (str(i), rate) for f, n in (("Hillside", 8_000), ("Lakeview", 10)) for i in range(n)}
+    assert before == [spark.conf.get(f"spark.sql.files.{c}", None) for c in ("maxPartitionBytes", "maxPartitionNum")]
+
+
 def test_reasons_in_fixed_order(spark):
     assert reasons(spark, [
         good(), good(qty="not-a-number"), good(serial_no=None), good(serial_no=" "),
