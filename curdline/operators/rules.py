@@ -19,7 +19,7 @@ def baseline_lookup(baselines: DataFrame) -> DataFrame:
     is used if it is eligible and has enough records, else the all-year row if that one is.
     """
     period = [c for c in ["file_year", "file_month"] if c in baselines.columns]
-    keys = ["facility", "dcs", *period, "season"]
+    keys = ["dcs", *period, "facility", "season"]
     known = with_missing(baselines, {"eligible": "int"}).where(F.coalesce(F.col("eligible").cast("int"), F.lit(1)) != 0)
     all_year = F.col("season") == ALL_YEAR
     enough = F.when(all_year, LIMITS.min_all_year_records).otherwise(LIMITS.min_seasonal_records)
@@ -37,7 +37,8 @@ def baseline_lookup(baselines: DataFrame) -> DataFrame:
 def score_records(records: DataFrame, baselines: DataFrame) -> DataFrame:
     """Records that have a usable baseline, with z-scores and raw rule outcomes (before thin suppression)."""
     lookup = baseline_lookup(baselines)
-    keys = [c for c in ["facility", "dcs", "file_year", "file_month", "season"] if c in lookup.columns]
+    # dcs first: rows are sorted by the keys in this order, and few rows share a dcs
+    keys = [c for c in ["dcs", "file_year", "file_month", "facility", "season"] if c in lookup.columns]
     records = with_missing(clean_measures(records), {"serial_no": "string", "vehicle": "string"})
     joined = records.join(lookup, keys)
     scores = F.struct(
@@ -50,12 +51,11 @@ def score_records(records: DataFrame, baselines: DataFrame) -> DataFrame:
     )
     # As the output of a generator the scores are computed once; filters on the rules stay above it.
     scored = joined.select("*", F.inline(F.array(scores)))
+    # The outcomes likewise: inlined into the filter they fill a method too large for the JVM to compile.
     rules = {RULES[r]: flag(F.expr(c)) for r, c in _CONDITIONS.items()} | {RULES["R8"]: F.lit(0)}
     extreme = any_of([F.abs(F.col(z)) > LIMITS.thin_z for z in ["z_snf", "z_fat", "z_clr"]])
-    scored = scored.withColumns(rules).withColumns({
-        "thin_baseline": flag(F.col("baseline_records") < LIMITS.thin_records),
-        "extreme_z": flag(extreme),
-    })
+    outcomes = rules | {"thin_baseline": flag(F.col("baseline_records") < LIMITS.thin_records), "extreme_z": flag(extreme)}
+    scored = scored.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in outcomes.items()]))))
     return scored.drop(*_LOOKUP_VALUES)
 
 
