@@ -12,7 +12,10 @@ from curdline.sources.tables import materialized
 
 
 def review_cases(report: DataFrame) -> DataFrame:
-    """One OPEN case per source record and category; the id is a hash of the record's identity."""
+    """One OPEN case per source record and category; the id is a hash of the record's identity.
+
+    What is the same in all cases is added after the duplicates are out, so that their sort does not carry it.
+    """
     identity = [
         F.col("facility"), F.col("serial_no").cast("string"), plain_number(F.col("dcs")),
         printed_date(F.col("date")), F.col("shift"), F.col("file_year").cast("string"),
@@ -23,13 +26,13 @@ def review_cases(report: DataFrame) -> DataFrame:
         F.substring(F.sha2(text, 256), 1, 20).alias("case_id"),
         "facility", F.col("dcs").cast("double").alias("dcs"), "society_name",
         F.col("file_year").cast("int").alias("file_year"), F.col("file_month").cast("int").alias("file_month"),
-        printed_date(F.col("date")).alias("screening_date"), "shift",
-        F.col("diagnosis").alias("screening_category"), F.col("confidence").alias("priority"),
-        F.lit("OPEN").alias("status"), F.lit(NEXT_STEP).alias("recommended_next_step"),
-        F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("string").alias("confirmation_reference"),
+        "date", "shift", F.col("diagnosis").alias("screening_category"), F.col("confidence").alias("priority"),
     )
     order = [priority_rank(F.col("priority")), F.col("society_name")]
-    return distinct_by(cases, ["case_id"], order).select(*REVIEW_CASE.names)
+    return distinct_by(cases, ["case_id"], order).withColumns({
+        "screening_date": printed_date(F.col("date")), "status": F.lit("OPEN"), "recommended_next_step": F.lit(NEXT_STEP),
+        "disposition": F.lit(None).cast("string"), "confirmation_reference": F.lit(None).cast("string"),
+    }).select(*REVIEW_CASE.names)
 
 
 def merge_cases(existing: DataFrame, new: DataFrame) -> DataFrame:
