@@ -61,7 +61,7 @@ class Derived:
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._stored:
-            self._stored[name] = tables.materialized(make(), name)
+            self._stored[name] = tables.materialized(make(), name, "zstd")
         return self._stored[name]
 
     @property
@@ -74,7 +74,11 @@ class Derived:
 
     @property
     def flags(self) -> DataFrame:
-        return self._once("flags", lambda: screening.score(self.records, self.baselines))
+        return self._once("flags", lambda: screening.score(self.records, self.baselines, self.active))
+
+    @property
+    def active(self) -> DataFrame:
+        return self._once("active_societies", lambda: shared_events.active_societies(self.records))
 
     @property
     def counts(self) -> DataFrame:
@@ -261,7 +265,7 @@ def q_run_mode(spark, sf_dir):
 
 def q_daily_summary(spark, sf_dir):
     d = derived(spark, sf_dir)
-    return rounded(shared_events.daily_summary(d.flags, shared_events.active_societies(d.records)))
+    return rounded(shared_events.daily_summary(d.flags, d.active))
 
 
 # --- roll-ups ------------------------------------------------------------------------------
@@ -579,7 +583,7 @@ def _items(spark, sf_dir):
     d = derived(spark, sf_dir)
 
     def items():
-        daily = shared_events.daily_summary(d.flags, shared_events.active_societies(d.records))
+        daily = shared_events.daily_summary(d.flags, d.active)
         own = d.baselines.join(d.records.select(*PERIOD).distinct(), PERIOD, "left_semi")
         return bundle.list_items(d.stats.drop("processed_at"), own, d.flags, d.counts, daily)
 

@@ -37,25 +37,30 @@ LISTS = [
 def list_items(
     stats: DataFrame, baselines: DataFrame, flags: DataFrame, counts: DataFrame, daily: DataFrame, scope: list[str] = PERIOD
 ) -> DataFrame:
-    """Rows (facility, file_year, file_month, list, item_json): the long lists of all runs."""
+    """Rows (facility, file_year, file_month, list, item_json): the long lists of all runs.
+
+    A flag is in one to three lists. Its text is made once, and its rows lie next to each other, so that a file holds it once.
+    """
     rows = {
         "current_month_stats": stats,
         "historical_baselines": rollups.baseline_snapshot(baselines),
-        "anomaly_records": _dated(flags),
-        "report_records": _dated(flags.where(F.col("seasonal_likely") == 0)),
         "daily_summary": _dated(daily),
         "severity": rollups.severity(counts, last_periods=None),
         "recurring_signal_indicators": _dated(rollups.recurring_indicators(counts, scope=scope)),
-        "detail_rows": _dated(rollups.detail_rows(flags)),
     }
     facility = F.col("facility") if "facility" in scope else F.lit(BATCH_FACILITY)
-    return union_all([
-        rows[name].select(
+
+    def texts(df: DataFrame, lists: Column) -> DataFrame:
+        return df.select(
             facility.alias("facility"), F.col("file_year").cast("int").alias("file_year"), F.col("file_month").cast("int").alias("file_month"),
-            F.lit(name).alias("list"), F.to_json(F.struct(*rows[name].columns), {"ignoreNullFields": "false"}).alias("item_json"),
+            lists.alias("list"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("item_json"),
         )
-        for name in LISTS
-    ])
+
+    of_a_flag = F.array_compact(F.array(
+        F.lit("anomaly_records"), F.when(F.col("seasonal_likely") == 0, "report_records"), F.when(rollups.is_detail(), "detail_rows"),
+    ))
+    flagged = texts(_dated(flags), of_a_flag).withColumn("list", F.explode("list"))
+    return union_all([*[texts(df, F.lit(name)) for name, df in rows.items()], flagged])
 
 
 def documents(

@@ -296,12 +296,17 @@ def top_by_keyword(counts: DataFrame, scope: list[str] = PERIOD, limit: int = 5)
 
 # --- detail rows ------------------------------------------------------------------------
 
-def detail_rows(flags: DataFrame) -> DataFrame:
-    """Final flags without weak unclassified ones."""
+def is_detail() -> Column:
+    """Whether a flag is final and no weak unclassified one."""
     weak = (F.col("diagnosis") == "UNCLASSIFIED_SCREENING_SIGNAL") & (F.col("confidence") == "MONITOR")
     for z in ["z_snf", "z_fat", "z_clr"]:
         weak = weak & (F.abs(F.col(z)) <= 1.5)
-    return flags.where((F.col("seasonal_likely") == 0) & ~F.coalesce(weak, F.lit(False)))
+    return (F.col("seasonal_likely") == 0) & ~F.coalesce(weak, F.lit(False))
+
+
+def detail_rows(flags: DataFrame) -> DataFrame:
+    """Final flags without weak unclassified ones."""
+    return flags.where(is_detail())
 
 
 def society_severity(severities: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ def shared_event_shares(directed: DataFrame, active: DataFrame) -> DataFrame:
     )
 
 
-def mark_shared_events(flags: DataFrame, records: DataFrame) -> DataFrame:
+def mark_shared_events(flags: DataFrame, records: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """Flags with their direction and the share of active societies that moved with them.
 
-    Both counts are joined first (small tables); the flags themselves are joined once.
+    Both counts are joined first (small tables); the flags themselves are joined once. ``active`` are the records'
+    active societies where the caller has them stored.
     """
     directed = flags.withColumn("direction", direction())
-    shares = shared_event_shares(directed, active_societies(records))
+    shares = shared_event_shares(directed, active_societies(records) if active is None else active)
     return directed.join(shares, [*EVENT_KEYS, "direction"], "left").withColumn(
         "seasonal_likely", F.coalesce("seasonal_likely", F.lit(0))
     )

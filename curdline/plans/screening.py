@@ -31,14 +31,14 @@ from curdline.schema import (
 from curdline.sources import tables
 
 
-def score(records: DataFrame, baselines: DataFrame) -> DataFrame:
+def score(records: DataFrame, baselines: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """All flags with category, explanation, adjusted priority and shared-event mark.
 
     The records that a rule marks are stored first: the shared events need all of them before the first can be
     written, and a plan that read them twice would score every record twice.
     """
-    fired = tables.materialized(rules.apply_rules(records, baselines), "fired")
-    marked = shared_events.mark_shared_events(fired, records)
+    fired = tables.materialized(rules.apply_rules(records, baselines), "fired", "zstd")
+    marked = shared_events.mark_shared_events(fired, records, active)
     explained = rules.explain(rules.diagnose(marked))
     return shared_events.ordered_flags(rules.adjust_priority(explained))
 
@@ -131,12 +131,14 @@ def _run(
     save("baselines", target_baselines, BASELINE_KEYS)
     baselines = of_these_months(tables.read_table(spark, state.baselines, target_baselines.schema))
 
-    flags = tables.materialized(score(records, baselines), "flags")
+    # a row for each shift, from all records: flags and daily summary need it
+    active = tables.materialized(shared_events.active_societies(records), "active_societies")
+    flags = tables.materialized(score(records, baselines, active), "flags", "zstd")
     counts = tables.materialized(rollups.flag_counts(flags), "flag_counts")
     report = shared_events.reportable(flags)
-    daily = shared_events.daily_summary(flags, shared_events.active_societies(records))
+    daily = shared_events.daily_summary(flags, active)
     totals = rollups.period_totals(records, counts, scope)
-    audit = rollups.audit_trail(totals, scope, BATCH_FACILITY)
+    audit = tables.materialized(rollups.audit_trail(totals, scope, BATCH_FACILITY), "audit")
 
     save("flagged", flags, FLAG_KEYS)
     save("daily_summary", daily, EVENT_KEYS)

@@ -29,11 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:{context._jvm.System.getProperty('java.io.tmpdir')}/curdline-{context.applicationId}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once and read it back: cuts the lineage and survives the loss of executors."""
+def materialized(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write a frame once and read it back: cuts the lineage and survives the loss of executors.
+
+    Wide rows and texts that many tasks read are worth ``zstd``; short-lived columns of hashes are not.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/curdline/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,7 +129,7 @@ class VersionedTable:
         """
         batch = uuid.uuid4().hex
         dealt = rows.select(*self.schema.names).hint("rebalance", *[F.col(c) for c in BATCH]).withColumn("batch", F.lit(batch))
-        dealt.write.mode("append").partitionBy(*BATCH, "batch").parquet(f"{self.path}/data")
+        dealt.write.mode("append").partitionBy(*BATCH, "batch").parquet(f"{self.path}/data", compression="zstd")
         stored = self._files().globStatus(self._path("data", "file_year=*", "file_month=*", f"batch={batch}"))
         months = ["/".join(str(f.getPath()).split("/")[-3:-1]) for f in stored or []]
         return batch, sorted(months)
