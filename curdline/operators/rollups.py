@@ -82,9 +82,11 @@ def severity(counts: DataFrame, last_periods: int | None = LIMITS.severity_perio
 def record_totals(records: DataFrame, scope: list[str] = PERIOD) -> DataFrame:
     """Records and two readings of "active societies": distinct dcs, and distinct (facility, dcs)."""
     per_society = records.groupBy(*PERIOD, "dcs").agg(F.count(F.lit(1)).alias("n"))
+    # within a facility's month each society is one row, so counting distinct ones would only deal them once more
+    distinct = F.count("dcs") if set(PERIOD) <= set(scope) else F.countDistinct("dcs")
     return per_society.groupBy(*scope).agg(
         F.sum("n").alias("records_processed"),
-        F.countDistinct("dcs").alias("distinct_dcs"),
+        distinct.alias("distinct_dcs"),
         F.count(F.lit(1)).alias("distinct_societies"),
     )
 
@@ -125,8 +127,9 @@ def month_summaries(records: DataFrame, counts: DataFrame, scope: list[str] = PE
         F.sort_array(F.collect_list(F.struct("rank", "dcs", "society_name", "flags", "primary_diagnosis"))).alias("top")
     )
     main = _with_main_category(final_counts(counts), PERIOD, "category_total")
-    run_mode = period_totals(records, counts, scope).select(*scope, "mode")
-    totals = period_totals(records, counts).drop("mode").join(run_mode, scope)
+    totals = period_totals(records, counts).dropna(subset=scope)
+    if scope != PERIOD:  # else the run is the period: its totals hold its mode, and the records are read once
+        totals = totals.drop("mode").join(period_totals(records, counts, scope).select(*scope, "mode"), scope)
     joined = totals.join(main, PERIOD, "left").join(top, PERIOD, "left")
     category = F.coalesce("primary_diagnosis", F.lit(""))
     listed = F.transform(
