@@ -7,7 +7,8 @@ as the leaves there are to hold. Leaves are the shards. All nodes of a level are
 The medians are distributed: a split looks for its place in a histogram of ``BUCKETS`` equal intervals of the node's
 range, whose sums of bytes Spark aggregates, then in the interval that holds it, until that holds less than
 ``TOLERANCE`` of a shard or a single key. The driver sees only those sums, at most shards x BUCKETS numbers, and
-keeps the tree, one split for each shard but one. Keys end in bits of a hash of the text, then of the document, so
+keeps the tree, one split for each shard but one. Nodes are boxes of the space, rows of a small table that is joined to
+the documents: the tree is data, so all passes have the same few plans and the driver compiles them once. Keys end in bits of a hash of the text, then of the document, so
 rows with equal metadata can be split, however many they are. Equal texts with equal metadata stay side by side: they
 share a shard unless a split falls among them, and one text held by more rows than a shard takes is spread over
 neighbouring shards. Languages and sources are placed by hashes, so any script will do.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curdline.sources.tables import materialized
@@ -35,6 +36,7 @@ TOLERANCE = 0.001
 SLOT_PARTS = 32
 
 _TIE_BITS = 24
+_LAST_KEY = (1 << 62) - 1
 _DIMENSIONS = ("by_length", "by_lang", "by_source")
 
 
@@ -71,11 +73,25 @@ def metadata(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", *keys)
 
 
-def shard_of(node: Node) -> Column:
-    """The number of the leaf a row belongs to."""
+def _boxes(node: Node, box: dict[str, tuple[int, int]] | None = None) -> dict[int, dict[str, tuple[int, int]]]:
+    """The box of each leaf: the first and last key it takes in each dimension. Together they are the whole space."""
+    box = box or dict.fromkeys(_DIMENSIONS, (0, _LAST_KEY))
     if node.left is None:
-        return F.lit(node.first)
-    return F.when(F.col(node.dimension) > node.key, shard_of(node.right)).otherwise(shard_of(node.left))
+        return {node.first: box}
+    low, high = box[node.dimension]
+    return _boxes(node.left, box | {node.dimension: (low, node.key)}) | _boxes(node.right, box | {node.dimension: (node.key + 1, high)})
+
+
+def _inside(rows: DataFrame, boxes: dict[int, dict[str, tuple[int, int]]], **columns: dict[int, int]) -> DataFrame:
+    """The rows in boxes, with their node and further columns given by node; at most one box holds a row."""
+    values = ", ".join(
+        "(" + ", ".join([f"{i}", *(f"{k}L" for d in _DIMENSIONS for k in box[d]), *(f"{c[i]}L" for c in columns.values())]) + ")"
+        for i, box in boxes.items()
+    )
+    names = ["node", *(f"{d}_{end}" for d in _DIMENSIONS for end in ("first", "last")), *columns]
+    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS boxes({', '.join(names)})")
+    held = F.expr(" AND ".join(f"{d} BETWEEN {d}_first AND {d}_last" for d in _DIMENSIONS))
+    return rows.join(F.broadcast(table), held).select(*rows.columns, "node", *columns)
 
 
 def _widest(row, whole) -> str:
@@ -86,15 +102,9 @@ def _widest(row, whole) -> str:
     return max(_DIMENSIONS, key=lambda d: (width(d), row[f"{d}_high"] - row[f"{d}_low"]))
 
 
-def _by_node(nodes: list[Node], value) -> Column:
-    """value(node) for the rows of each node; other rows get null."""
-    chosen = F.lit(None)
-    for n in nodes:
-        chosen = F.when(F.col("node") == n.first, value(n)).otherwise(chosen)
-    return chosen
-
-
-def _split(rows: DataFrame, nodes: dict[int, Node], found: dict[int, object], whole, leaf_bytes: float) -> None:
+def _split(
+    rows: DataFrame, nodes: dict[int, Node], boxes: dict[int, dict[str, tuple[int, int]]], found: dict[int, object], whole, leaf_bytes: float
+) -> None:
     """Set the dimension and key of all nodes at their weighted medians."""
     low, high, before, wanted = {}, {}, {}, {}
     for i, n in nodes.items():
@@ -103,25 +113,23 @@ def _split(rows: DataFrame, nodes: dict[int, Node], found: dict[int, object], wh
         before[i], wanted[i] = 0, found[i]["size"] * (n.leaves // 2) / n.leaves
     searching = dict(nodes)
     while searching:
-        listed = list(searching.values())
         width = {i: (high[i] - low[i]) // BUCKETS + 1 for i in searching}
-        start = _by_node(listed, lambda n: F.lit(low[n.first]))
-        inside = rows.select(
-            "node", "size", (_by_node(listed, lambda n: F.col(n.dimension)) - start).alias("distance"),
-            _by_node(listed, lambda n: F.lit(width[n.first])).alias("width"),
-            _by_node(listed, lambda n: F.lit(high[n.first] - low[n.first])).alias("most"),
-        ).filter("distance BETWEEN 0 AND most")
-        sums: dict[int, list[tuple[int, int]]] = {i: [] for i in searching}
-        for r in inside.groupBy("node", F.expr("distance DIV width").alias("bucket")).agg(F.sum("size").alias("size")).collect():
-            sums[r["node"]].append((r["bucket"], r["size"]))
+        inside = _inside(
+            rows, {i: boxes[i] | {n.dimension: (low[i], high[i])} for i, n in searching.items()},
+            along={i: _DIMENSIONS.index(n.dimension) for i, n in searching.items()}, low={i: low[i] for i in searching}, width=width,
+        ).withColumn("key", F.expr(f"element_at(array({', '.join(_DIMENSIONS)}), CAST(along AS INT) + 1)"))
+        sums: dict[int, list[tuple[int, int, bool]]] = {i: [] for i in searching}
+        totals = [F.sum("size").alias("size"), (F.min("key") == F.max("key")).alias("single")]
+        for r in inside.groupBy("node", F.expr("(key - low) DIV width").alias("bucket")).agg(*totals).collect():
+            sums[r["node"]].append((r["bucket"], r["size"], r["single"]))
         for i, n in list(searching.items()):
             total = before[i]
-            for bucket_, size in sorted(sums[i]):
+            for bucket_, size, single in sorted(sums[i]):
                 if total + size >= wanted[i]:
                     break
                 total += size
             end = min(low[i] + (bucket_ + 1) * width[i] - 1, high[i])
-            if width[i] == 1 or size <= TOLERANCE * leaf_bytes:
+            if single or size <= TOLERANCE * leaf_bytes:
                 # the end of the interval that is nearer to the wanted sum
                 n.key = end if total + size - wanted[i] <= wanted[i] - total else low[i] + bucket_ * width[i] - 1
                 del searching[i]
@@ -135,13 +143,13 @@ def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
     level, whole = {0: root} if shards > 1 else {}, None
     while level:
         bounds = [f(d).alias(f"{d}_{name}") for d in _DIMENSIONS for f, name in ((F.min, "low"), (F.max, "high"))]
-        placed = rows.withColumn("node", shard_of(root))
-        found = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *bounds).collect()}
+        boxes = _boxes(root)
+        found = {r["node"]: r for r in _inside(rows, boxes).groupBy("node").agg(F.sum("size").alias("size"), *bounds).collect()}
         if whole is None:
             whole = found.get(0)
         held = {i: n for i, n in level.items() if i in found}  # no rows, no split
         if held:
-            _split(placed, held, found, whole, whole["size"] / shards)
+            _split(rows, held, boxes, found, whole, whole["size"] / shards)
         level = {}
         for n in held.values():
             half = n.leaves // 2
@@ -153,7 +161,7 @@ def tree(rows: DataFrame, shards: int = SHARDS) -> Node:
 def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for each document."""
     rows = materialized(metadata(documents), "metadata")
-    placed = rows.withColumn("shard", shard_of(tree(rows, shards)).cast("int")).withColumn(
+    placed = _inside(rows, _boxes(tree(rows, shards))).withColumnRenamed("node", "shard").withColumn(
         "part", F.expr(f"CAST(pmod(xxhash64(doc_id, text_crc32, 7), {SLOT_PARTS}) AS INT)")
     )
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))

@@ -70,3 +70,21 @@ def test_any_script_and_equal_texts(spark):
 def test_query_is_native(spark):
     plan = op2_kd_tree_shards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_tree_is_data_not_code(spark, monkeypatch):
+    """A pass that compares rows with a tree of literals is a new plan, and compiled classes, for the driver each time."""
+    sizes, inside = [], op._inside
+
+    def seen(rows, boxes, **columns):
+        out = inside(rows, boxes, **columns)
+        joined = out._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append((len(boxes), len(joined)))
+        assert "CASE WHEN" not in joined
+        return out
+
+    monkeypatch.setattr(op, "_inside", seen)
+    rows = [(i, prose(i, 5 + i % 90)) for i in range(300)]
+    checked(rows, op.sharded(docs(spark, rows)).collect(), 40, 3 * 650)
+    assert max(n for n, _ in sizes) == 40 and len(sizes) < 32
+    assert max(size for _, size in sizes) < 2 * min(size for _, size in sizes)
