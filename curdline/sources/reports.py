@@ -81,6 +81,11 @@ def csv_cells(line: Column) -> Column:
     return F.transform(cells, lambda c: F.nullif(c, F.lit("")))
 
 
+def _file_path() -> Column:
+    """The path of a row's file, spelt alike by every scan."""
+    return F.col("_metadata.file_path")
+
+
 def _decoded_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
@@ -224,21 +229,25 @@ def scan_parquet_reports(spark: SparkSession, source_dir: str, files: DataFrame
     """Raw rows of Parquet exports; every file has its own header, and the file format itself numbers the rows.
 
     Files with the same header are one scan; there are few headers. Files whose header fits no layout keep no rows.
+    What a file's name says is read once for each file and joined to its rows.
     """
     headers = parquet_headers(spark, source_dir, files).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    paths = [p for row in headers for p in row["paths"]]
+    if paths:
+        # a path that a catalogue names twice is still one file
+        known = spark.read.format("binaryFile").load(paths).select(_file_path().alias("report_path"), _decoded_name().alias("source_file")).dropDuplicates(["report_path"])
+        known = known.withColumn("identity", file_identity(F.col("source_file")))
+        if len(paths) <= _BROADCAST_SPLITS:
+            known = F.broadcast(known)
     scans = []
     for row in headers:
         if not any(all(src in {h.strip() for h in row["header"]} for src, dst in columns.items() if dst in REQUIRED_COLUMNS) for columns in LAYOUTS.values()):
             continue
         df = spark.read.parquet(*row["paths"])
         header = F.array(*[F.lit(h.strip()) for h in row["header"]])
-        numbered = df.withColumns({
-            "source_file": _decoded_name(),
-            "source_row": F.col("_metadata.row_index") + 2,
-        })
-        numbered = numbered.withColumn("identity", file_identity(F.col("source_file")))
-        mapped = map_columns(numbered, ["source_file", "source_row", "identity"])
-        scans.append(mapped.select(
+        numbered = df.withColumns({"report_path": _file_path(), "source_row": F.col("_metadata.row_index") + 2})
+        mapped = map_columns(numbered, ["report_path", "source_row"])
+        scans.append(mapped.join(known, "report_path").select(
             "source_file", "source_row", "identity.*", layout_of(header).alias("schema_layout"),
             schema_fingerprint(header).alias("schema_fingerprint"),
             *[F.col(c) if c in mapped.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS],

@@ -201,6 +201,29 @@ def test_parquet_exports_by_their_own_headers(spark, tmp_path):
     assert reports.scan_parquet_reports(spark, str(tmp_path / "empty")).collect() == []
 
 
+def test_names_of_parquet_exports_are_read_once_for_each_file(spark, tmp_path):
+    """Nothing above the scan of the rows, up to the join with the files, decodes or parses their names."""
+    import pandas as pd
+
+    odd = "Hill%20side+ for the month of May 2026"
+    for name, quantity in ((odd, "7"), ("Lakeview for the month of Sept 2025", "8")):
+        pd.DataFrame([[*GOOD[:-1], "x"], good(qty=quantity)], columns=A).to_parquet(tmp_path / f"{name}.parquet")
+    raw = reports.scan_parquet_reports(spark, str(tmp_path))
+    assert sorted((r["source_file"], r["facility"], r["file_month"], r["file_year"], r["source_row"]) for r in raw.collect()) == [
+        (f"{odd}.parquet", "Hill%20side+", 5, 2026, 2), (f"{odd}.parquet", "Hill%20side+", 5, 2026, 3),
+        ("Lakeview for the month of Sept 2025.parquet", "Lakeview", 9, 2025, 2), ("Lakeview for the month of Sept 2025.parquet", "Lakeview", 9, 2025, 3)]
+    lines = raw._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depths = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    scans = [i for i, line in enumerate(lines) if line.endswith("parquet")]
+    assert scans
+    for at in scans:
+        depth = depths[at]
+        for i in range(at, -1, -1):
+            if depths[i] < depth or i == at:
+                depth = depths[i]
+                assert "url_decode" not in lines[i].lower() and "regexp_extract" not in lines[i], lines[i]
+
+
 def test_files_of_done_periods_are_never_opened(spark, tmp_path):
     """A file whose period has a document may even be unreadable; the plan lists the new files only."""
     from curdline.plans.validation import new_files
