@@ -52,6 +52,8 @@ PART = 500_000
 FILTER_BITS = 1 << 25
 #: Positions that a task looks at together.
 SLAB = 1 << 21
+#: Phrases a worker adds up before it hands them on; bounds memory, not results.
+HELD_PHRASES = 1 << 20
 #: Words a worker remembers or counts before it hands them on; bounds memory, not results.
 KNOWN_WORDS = 500_000
 
@@ -211,6 +213,30 @@ def _phrases(ids: np.ndarray, k: int, shorter: np.ndarray | None, factor: int) -
     return at, _hashes([ids[at + j] for j in range(k)], factor)
 
 
+def _added_up(slabs: Iterator[list[np.ndarray]], most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of distinct hashes, their counts and more, those of many slabs added up: at most about ``most`` rows are held."""
+    held: list[list[np.ndarray]] = []
+
+    def together() -> list[np.ndarray]:
+        hashes, counts, *more = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        return [hashes[first], np.add.reduceat(counts[order], first), *[c[order[first]] for c in more]]
+
+    for columns in slabs:
+        if 2 * len(columns[0]) > most:  # as good as it gets
+            yield columns
+        elif len(columns[0]):
+            held.append(columns)
+        if sum(len(c[0]) for c in held) > most:
+            held = [together()]
+            if 2 * len(held[0][0]) > most:
+                yield held.pop()
+    if held:
+        yield together()
+
+
 def candidates(
     texts: DataFrame, k: int, shorter: np.ndarray | None, min_count: int, part: int, factor: int, word_ids: DataFrame
 ) -> DataFrame:
@@ -219,17 +245,19 @@ def candidates(
     Buckets hand on half of each word's id but the last's, which keeps the shuffle small; ``word_ids`` (id), the frequent
     words, complete them. Words that share a half give candidates more, which no text holds.
     """
-    spark, slab = texts.sparkSession, SLAB
+    spark, slab, held = texts.sparkSession, SLAB, HELD_PHRASES
     shipped = spark.sparkContext.broadcast(shorter)
     words = [f"w{i}" for i in range(1, k + 1)]
     halves = [f"half{i}" for i in range(1, k)]
 
+    def slab_buckets(ids: np.ndarray) -> list[np.ndarray]:
+        at, hashes = _phrases(ids, k, shipped.value, factor)
+        hashes, example, counts = np.unique(hashes, return_index=True, return_counts=True)
+        return [hashes, counts, *[ids[at[example] + j].astype(np.int32) for j in range(k - 1)]]
+
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _slabs(batches, slab):
-            at, hashes = _phrases(ids, k, shipped.value, factor)
-            hashes, example, counts = np.unique(hashes, return_index=True, return_counts=True)
-            own = [ids[at[example] + j].astype(np.int32) for j in range(k - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, counts, *own)], names=["h", "most", *halves])
+        for columns in _added_up(map(slab_buckets, _slabs(batches, slab)), held):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "most", *halves])
 
     def last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last word follows from the others and the hash."""
@@ -239,7 +267,9 @@ def candidates(
             last = _unmixed(batch.column("h").to_numpy().view(np.uint64)) - before
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*first, last.view(np.int64))] + [batch.column("most")], names=[*words, "most"])
 
-    found = texts.mapInArrow(buckets, ", ".join(["h bigint", "most bigint", *(f"{c} int" for c in halves)]))
+    # longer phrases repeat from slab to slab; pairs hardly do
+    shards = texts if k == 2 else texts.coalesce(spark.sparkContext.defaultParallelism)
+    found = shards.mapInArrow(buckets, ", ".join(["h bigint", "most bigint", *(f"{c} int" for c in halves)]))
     # nearly all rows of a task are distinct, so they are dealt first and added up once
     heavy = found.repartition("h").groupBy("h").agg(F.sum("most").alias("most"), *[F.first(c).alias(c) for c in halves])
     heavy = materialized(heavy.where(F.col("most") >= min_count), f"heavy_{k}")

@@ -104,6 +104,26 @@ def test_shared_buckets_are_made_anew(spark, monkeypatch):
     assert [k for k, _ in factors] == [2, 2, 3, 4] and ours == brute_force(rows, 6, 30)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 300, 100, 40])
+def test_slabs_of_a_task_are_added_up(most):
+    """A phrase found in many slabs is one row, unless there are more phrases than a worker holds."""
+    rng = np.random.default_rng(3)
+    slabs = []
+    for i in range(60):
+        hashes, counts = np.unique(rng.integers(0, 60 if i % 20 else 250, 50 if i % 7 else 0), return_counts=True)
+        slabs.append([hashes, counts, (hashes * 3).astype(np.int32)])
+    wanted = Counter()
+    for hashes, counts, _ in slabs:
+        wanted.update(dict(zip(hashes.tolist(), counts.tolist(), strict=True)))
+    out, sums = list(op._added_up(iter(slabs), most)), Counter()
+    for hashes, counts, half in out:
+        assert len(hashes) <= most + 60 and len(set(hashes.tolist())) == len(hashes) and (half == hashes * 3).all()
+        sums.update(dict(zip(hashes.tolist(), counts.tolist(), strict=True)))
+    assert sums == wanted
+    if most >= 300:
+        assert sum(len(c[0]) for c in out) <= len(wanted) * (1 if most > 300 else 3) < sum(len(c[0]) for c in slabs)
+
+
 def test_last_words_follow_from_hashes():
     columns = [np.random.default_rng(i).integers(1, 1 << 62, 1000) for i in range(4)]
     assert (op._unmixed(op.mixed(columns[0].view(np.uint64))) == columns[0].view(np.uint64)).all()
